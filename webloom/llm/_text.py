@@ -52,26 +52,22 @@ def buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row), the latter with one more entry than rows."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    data, off = buffer(pc.utf8_lower(col) if lower else col)
+def _bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words; a row's end ends its last word."""
     n = len(data)
-    if n == 0:
-        return np.empty(0, dtype=_U), np.zeros(len(off), dtype=np.int64)
     inside = ~_SPACE[data]
-    edge = np.empty(n + 1, dtype=bool)
+    edge, stop = np.empty(n + 1, dtype=bool), np.empty(n + 1, dtype=bool)
     edge[0], edge[n] = inside[0], False
     np.logical_and(inside[1:], ~inside[:-1], out=edge[1:n])
-    inner = off[(off > 0) & (off < n)]
-    edge[inner] = inside[inner]
-    starts = np.flatnonzero(edge)
-    stop = np.empty(n + 1, dtype=bool)
     stop[0], stop[n] = False, inside[n - 1]
     np.logical_and(inside[:-1], ~inside[1:], out=stop[1:n])
-    stop[inner] = inside[inner - 1]
-    ends = np.flatnonzero(stop)
+    inner = off[(off > 0) & (off < n)]
+    edge[inner], stop[inner] = inside[inner], inside[inner - 1]
+    return np.flatnonzero(edge), np.flatnonzero(stop)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; the spans ascend and don't overlap."""
     out = np.empty(len(starts), dtype=_U)
     i = 0
     while i < len(starts):
@@ -85,7 +81,33 @@ def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = (run[e] - run[s]) * down[s]
         i = j
-    return mix(out), np.searchsorted(starts, off).astype(np.int64)
+    return mix(out)
+
+
+def words(col: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row), the latter with one more entry than rows."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    data, off = buffer(pc.utf8_lower(col) if lower else col)
+    if len(data) == 0:
+        return np.empty(0, dtype=_U), np.zeros(len(off), dtype=np.int64)
+    starts, ends = _bounds(data, off)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, off).astype(np.int64)
+
+
+def units(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first unit of each row): words with the white space before them.
+
+    White space at a row's end is a unit too, so the units of a row make up its text.
+    """
+    data, off = buffer(col)
+    if len(data) == 0:
+        none = np.empty(0, dtype=np.int64)
+        return data, none, none, np.zeros(len(off), dtype=np.int64)
+    _, ends = _bounds(data, off)
+    ends = np.union1d(ends, off[off > 0])
+    starts = np.concatenate([[0], ends[:-1]])
+    return data, starts, ends, np.searchsorted(starts, off).astype(np.int64)
 
 
 def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
