@@ -10,7 +10,8 @@ Two different lines are taken for one with a probability of 2**-32 a probe.
 Lines are split at \\n and compared without spaces at their ends.  Blank lines never count and
 always stay.  A document whose lines all go is dropped; null and empty texts stay as they are.
 A null doc_id sorts last: a repeated line that only such rows hold stays in all of them.  Rows
-that repeat the first doc_id of a line each keep it.  All other columns are passed on.
+that repeat the first doc_id of a line each keep it.  ``n_chars``, if there, follows a changed text; all
+other columns are passed on, but one named lines_removed gives way to the result's.
 """
 
 from __future__ import annotations
@@ -74,5 +75,6 @@ def line_dedup(docs: DataFrame, max_count: int = 6, keys_per_shard: int = 4_000_
     text = F.when(gone == 0, F.col("text")).otherwise(F.array_join(F.transform("__wl_kept", lambda i: F.get(lines, i)), "\n"))
     out = probed.withColumn("__wl_text", text).withColumn("__wl_gone", gone)
     left = (F.col("__wl_gone") == 0) | F.col("__wl_text").rlike("[^ \n]")
-    names = [F.col("__wl_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "lines_removed"]
+    new = {"text": F.col("__wl_text"), "n_chars": F.when(F.col("__wl_gone") == 0, F.col("n_chars")).otherwise(F.length("__wl_text"))}
+    names = [new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "lines_removed"]
     return out.where(left).select(*names, F.col("__wl_gone").alias("lines_removed"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.llm.line_dedup import line_dedup
 from webloom.llm.ngram_join import ngram_jaccard_join
 
 
@@ -17,8 +18,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=5, threshold=0.4)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"), max_count=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
@@ -44,4 +50,23 @@ ORACLE: dict[str, str] = {
         SELECT x, y, jaccard FROM p
         WHERE jaccard < 1 AND x NOT IN (SELECT doc_id FROM copies) AND y NOT IN (SELECT doc_id FROM copies)
     """,
+    "op2_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL
+        ), c AS (
+            SELECT trim(line, ' ') AS t, min(doc_id) AS owner FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(*) > 6
+        ), m AS (
+            SELECT l.doc_id, l.line, l.i, c.owner, row_number() OVER (PARTITION BY l.doc_id, trim(l.line, ' ') ORDER BY l.i) AS nth
+            FROM l LEFT JOIN c ON trim(l.line, ' ') = c.t
+        ), k AS (
+            SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM m WHERE owner IS NULL OR (owner = doc_id AND nth = 1) GROUP BY 1
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM l GROUP BY 1
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NULL OR n.n = k.n THEN d.text ELSE k.kept END AS text, d.lang, d.source,
+            CASE WHEN d.text IS NULL OR n.n = k.n THEN d.n_chars ELSE length(k.kept) END AS n_chars,
+            CASE WHEN d.text IS NULL THEN 0 ELSE n.n - coalesce(k.n, 0) END::INTEGER AS lines_removed
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+        WHERE d.text IS NULL OR n.n = k.n OR regexp_matches(k.kept, '[^ \n]')
+    """,
 }
