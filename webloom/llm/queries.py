@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from webloom.llm.chat import echo_rejections, preference_pairs, spans
+from webloom.llm.embeddings import embedding_near_dup
 from webloom.llm.line_dedup import line_dedup
+from webloom.llm.mixing import mixing_rates
 from webloom.llm.ngram_join import ngram_jaccard_join
+from webloom.llm.packing import best_fit_packing
+from webloom.llm.pii import pseudonymise
+from webloom.llm.quality import quality_rules
+from webloom.llm.sharding import with_shards
+
+#: A public byte-level vocabulary; a path, so that a cluster can name its own place for it.
+VOCABULARY = os.environ.get("WEBLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Shares of tokens, and their sum in units of the input's tokens.
+TARGETS, BUDGET = {"clean": 0.94, "low": 0.04, "toxic": 0.02}, 1.0
+#: For the registered query only: a deployment passes its own secret.
+DEMO_KEY = b"not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +38,47 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"), max_count=6)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=4096)
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_pairs(*echo_rejections(_table(spark, sf_dir, "conversations")))
+    listed = {f"{x}_trained": F.array_join(F.transform(spans(F.col(f"{x}_segments")), lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for x in ("chosen", "rejected")}
+    return pairs.withColumns(listed).drop("chosen_segments", "rejected_segments")
+
+
+def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dup(_table(spark, sf_dir, "embeddings"), threshold=0.9, recall=0.99)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), limit=4_000_000).drop("text")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), TARGETS, VOCABULARY, BUDGET)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.where("not rejected").drop("rejected", "failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op6_embedding_near_dup": op6_embedding_near_dup,
+    "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
@@ -69,4 +123,80 @@ ORACLE: dict[str, str] = {
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
         WHERE d.text IS NULL OR n.n = k.n OR regexp_matches(k.kept, '[^ \n]')
     """,
+    "op4_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), l AS (
+            SELECT conv_id, max(i) AS i FROM t WHERE role = 'assistant' AND i > 1 GROUP BY 1
+        ), p AS (
+            SELECT t.conv_id, l.i - 1 AS before,
+                string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY t.i) FILTER (t.i < l.i) AS prompt,
+                max(text) FILTER (t.i = l.i) AS yes, max(text) FILTER (t.i = l.i - 1) AS no
+            FROM t JOIN l ON t.conv_id = l.conv_id AND t.i <= l.i GROUP BY 1, 2
+        ), r AS (
+            SELECT *, '<|assistant|>' || chr(10) AS head, yes || '<|end|>' || chr(10) AS c, no || '<|end|>' || chr(10) AS r FROM p WHERE yes <> no
+        )
+        SELECT conv_id, before::INTEGER AS prefix_turns, prompt, head || c AS chosen, head || r AS rejected,
+            length(head) || '-' || (length(head) + length(c)) AS chosen_trained, length(head) || '-' || (length(head) + length(r)) AS rejected_trained
+        FROM r
+    """,
+    "op6_embedding_near_dup": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS e FROM embeddings
+        ), s AS (
+            SELECT min(vec_id) AS name, list(vec_id ORDER BY vec_id) AS ids, any_value(e) AS e FROM v GROUP BY list_transform(e, lambda x: round(x, 9))
+        ), p AS (
+            SELECT a.name AS vec_a, b.name AS vec_b, list_inner_product(a.e, b.e) AS c FROM s a JOIN s b ON a.name < b.name
+        )
+        SELECT vec_a, vec_b, round(least(c, 1.0), 6) AS cosine FROM p WHERE c >= 0.9
+        UNION ALL SELECT name, unnest(ids[2:]), 1.0 FROM s WHERE len(ids) > 1
+    """,
+    "op7_sharding": r"""
+        WITH d AS (
+            SELECT doc_id, ('0x' || substring(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS b FROM documents
+        ), s AS (
+            SELECT depth, h >> (60 - depth) AS p, sum(b)::BIGINT AS bytes, min(h) = max(h) AS one FROM d, range(0, 61) AS r(depth) GROUP BY 1, 2
+        ), m AS (
+            SELECT d.doc_id, d.h, min(s.depth) AS depth FROM d JOIN s ON s.p = d.h >> (60 - s.depth) WHERE s.bytes <= 4000000 OR s.one GROUP BY 1, 2
+        )
+        SELECT m.doc_id, substring((m.h::BIT)::VARCHAR, 5, m.depth::INTEGER) AS shard, m.depth::INTEGER AS depth, s.bytes AS shard_bytes, s.bytes <= 4000000 AS fits
+        FROM m JOIN s ON s.depth = m.depth AND s.p = m.h >> (60 - m.depth)
+    """,
+    "op10_quality_rules": r"""
+        WITH w AS (
+            SELECT *, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
+                list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, E' \t\x0B\f\r')), lambda x: x <> '') AS ls
+            FROM documents
+        ), m AS (
+            SELECT doc_id, text, lang, source, n_chars,
+                length(regexp_replace(text, '[^\x00-\x08\x0E-\x1F#$%&()*+/<=>@\[\\\]^_`{|}~\x7F]', '', 'g')) / greatest(length(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')), 1) AS symbols,
+                len(list_filter(ws, lambda x: regexp_full_match(x, '[\x00-\x60\x7B-\x7F]*') AND length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2)) / greatest(len(ws), 1) AS shouting,
+                len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) / greatest(len(ws), 1) AS repetition,
+                len(list_filter(ws, lambda x: x = '|')) / greatest(len(ws), 1) AS tables,
+                (len(ls) - len(list_distinct(ls))) / greatest(len(ls), 1) AS doubling
+            FROM w
+        ), good AS (
+            SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1
+        ), held AS (
+            UNPIVOT (SELECT lang, symbols, shouting, repetition, tables, doubling FROM m WHERE text <> '' AND doc_id IN (FROM good))
+            ON symbols, shouting, repetition, tables, doubling INTO NAME rule VALUE v
+        ), n AS (
+            SELECT lang, count(*) // 5 AS n, count(*) OVER () AS strata FROM held GROUP BY 1
+        ), terms AS (
+            SELECT lang, n, strata, j, exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln(0.02 / 5) + (n - j) * ln(1 - 0.02 / 5)) AS p
+            FROM n, LATERAL (SELECT unnest(range(0, least(n, 20000) + 1)) AS j)
+        ), rank AS (
+            SELECT lang, count(*) FILTER (cdf <= 0.05 / (5 * strata)) AS k FROM (SELECT lang, strata, sum(p) OVER (PARTITION BY lang ORDER BY j) AS cdf FROM terms) GROUP BY 1
+        ), ordered AS (
+            SELECT lang, rule, v, row_number() OVER (PARTITION BY lang, rule ORDER BY v DESC) AS nth FROM held
+        ), cut AS (
+            SELECT o.lang, o.rule, o.v AS cutoff FROM ordered o JOIN rank r ON o.lang IS NOT DISTINCT FROM r.lang AND o.nth = r.k
+        ), bad AS (
+            SELECT DISTINCT m.doc_id FROM (UNPIVOT (SELECT doc_id, lang, symbols, shouting, repetition, tables, doubling FROM m) ON symbols, shouting, repetition, tables, doubling INTO NAME rule VALUE v) m
+            JOIN cut c ON c.lang IS NOT DISTINCT FROM m.lang AND c.rule = m.rule WHERE m.v > c.cutoff
+        )
+        SELECT doc_id, text, lang, source, n_chars FROM documents WHERE text <> '' AND doc_id NOT IN (FROM bad)
+    """,
 }
