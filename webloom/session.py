@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Arrow batches hold whole texts, and vectorised functions take several times a batch's size.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver runs from another folder."""
+    """Let Python workers import this package when the driver runs from another folder, and bound their batches."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    for name, value in _BATCHES.items():
+        spark.conf.set(name, value)
     return spark
 
 
