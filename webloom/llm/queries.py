@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.llm.boilerplate import remove_boilerplate
 from webloom.llm.chat import echo_rejections, preference_pairs, spans
 from webloom.llm.embeddings import embedding_near_dup
 from webloom.llm.line_dedup import line_dedup
@@ -48,6 +49,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns(listed).drop("chosen_segments", "rejected_segments")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(_table(spark, sf_dir, "pages"), min_tokens=16)
+
+
 def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dup(_table(spark, sf_dir, "embeddings"), threshold=0.9, recall=0.99)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_html_extraction": op5_html_extraction,
     "op6_embedding_near_dup": op6_embedding_near_dup,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
