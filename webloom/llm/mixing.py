@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,18 +43,25 @@ from webloom.llm._tokens import counter
 from webloom.session import prepare, written
 
 DOMAINS = ("clean", "low", "toxic")
-_BITS = 16
+_BITS = 18
 _DIM = (1 << _BITS) + 3
 _PIPE = np.zeros(256, bool)
 _PIPE[[*b"#$%&()*+/<=>@[\\]^_`{|}~"]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(feature, value, first feature of each row): words by hash, scaled to length 1, two shares and a constant."""
-    hashes, first = X.words(col)
-    rows = len(first) - 1
+    data, off = X.buffer(pc.utf8_lower(col))
+    starts, ends = X._bounds(data, off) if len(data) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    first, rows = np.searchsorted(starts, off), len(off) - 1
+    for _ in range(2):  # marks at the edges don't belong to a word, unless it is nothing else
+        starts = starts + (_MARK[data[starts]] & (ends - starts > 1))
+        ends = ends - (_MARK[data[ends - 1]] & (ends - starts > 1))
+    hashes = X.span_hashes(data, starts, ends)
     row = np.repeat(np.arange(rows), np.diff(first))
     slot = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
     code, count = np.unique(row * (1 << _BITS) + slot, return_counts=True)
@@ -89,17 +97,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(feature: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-4) -> np.ndarray:
-    """Softmax weights (features x domains) by full-batch gradient steps with per-feature scaling."""
+    """Softmax weights (features x domains) by full-batch gradient steps with per-feature scaling.
+
+    Features enter in proportion to how far their presence moves the odds of a domain, so that rare
+    telling words count and the many that tell nothing don't drown them.
+    """
     k, n = len(DOMAINS), len(y)
+    hot, row = np.eye(k)[y], np.repeat(np.arange(n), np.diff(first))
+    here = np.stack([np.bincount(feature, hot[row, j] * (value > 0), _DIM) for j in range(k)], axis=1) + 1.0
+    size, total = hot.sum(axis=0) + 2.0, here.sum(axis=1, keepdims=True)
+    tell = np.abs(np.log((here / size) / ((total - here) / (size.sum() - size)))).max(axis=1)
+    tell[-3:] = 2.0
+    value = value * tell[feature]
     weights, seen = np.zeros((_DIM, k)), np.full((_DIM, 1), 1e-6)
-    hot = np.eye(k)[y]
-    row = np.repeat(np.arange(n), np.diff(first))
     for _ in range(steps):
         error = _softmax(_scores(feature, value, first, weights)) - hot
         grad = np.stack([np.bincount(feature, error[row, j] * value, _DIM) for j in range(k)], axis=1) / n + ridge * weights
         seen += (grad**2).mean(axis=1, keepdims=True)
         weights -= 0.5 * grad / np.sqrt(seen)
-    return weights
+    return weights * tell[:, None]
 
 
 def _fit(table: pa.Table) -> pa.Table:
@@ -113,7 +129,7 @@ def _fit(table: pa.Table) -> pa.Table:
 
 
 def classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000) -> bytes:
-    """The weights, fitted by one task on at most ``sample_rows`` labelled documents; 0.8 MB come to the driver."""
+    """The weights, fitted by one task on at most ``sample_rows`` labelled documents; 3 MB come to the driver."""
     prepare(docs.sparkSession)
     worst = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("__wl_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     y = F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0)

@@ -22,7 +22,7 @@ from webloom.llm.sharding import with_shards
 #: A public byte-level vocabulary; a path, so that a cluster can name its own place for it.
 VOCABULARY = os.environ.get("WEBLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Shares of tokens, and their sum in units of the input's tokens.
-TARGETS, BUDGET = {"clean": 0.94, "low": 0.04, "toxic": 0.02}, 1.0
+TARGETS, BUDGET = {"clean": 0.96, "low": 0.02, "toxic": 0.02}, 1.25
 #: For the registered query only: a deployment passes its own secret.
 DEMO_KEY = b"not a secret"
 
