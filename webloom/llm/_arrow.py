@@ -10,3 +10,10 @@ def grouped(f: Callable, **bound) -> Callable[[pa.Table], pa.Table]:
         return f(table, **bound)
 
     return run
+
+
+def cogrouped(f: Callable, **bound) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return f(left, right, **bound)
+
+    return run

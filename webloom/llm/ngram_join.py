@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from webloom.llm import _blobs as B
 from webloom.llm import _text as X
-from webloom.llm._arrow import grouped
+from webloom.llm._arrow import cogrouped, grouped
 from webloom.session import prepare, shuffle_partitions, written
 
 _U = np.uint64
 _FLUSH = 4_000_000
-#: Hash bits kept in the exchange of step 1; n-grams that agree on them are taken as one.
-_DROP = 8
+#: Hash bits dropped for the exchange of step 1, so that sorted gaps take 4 bytes.  N-grams that agree on
+#: the other 48 are taken as one, which matters only to two sets that hold one each: size**2 / 2**48.
+_DROP = 16
 _MEMBERS = -1
 
 
@@ -213,6 +214,32 @@ def document_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     return written(shared.groupBy("part").applyInArrow(grouped(_sets, threshold=threshold), _SETS))
 
 
+def _verify(pairs: pa.Table, lists: pa.Table, threshold: float) -> pa.Table:
+    """The pairs of a bucket whose n-gram lists overlap enough: each list is marked once, and all its partners counted against it."""
+    sig, size = lists.column("sig").to_numpy(), lists.column("size").to_numpy()
+    grams = lists.column("grams").combine_chunks()
+    count = np.asarray(grams.value_lengths())
+    off = np.concatenate([[0], np.cumsum(count)])
+    names, code = np.unique(np.asarray(grams.flatten()), return_inverse=True)
+    order = np.argsort(sig)
+    a, b = (order[np.searchsorted(sig[order], pairs.column(c).to_numpy())] if len(sig) else np.empty(0, np.int64) for c in ("sig_a", "sig_b"))
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], b[by]
+    common, mark = np.zeros(len(a), np.int64), np.zeros(len(names), bool)
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])), len(a)) if len(a) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        mine = code[off[a[lo]] : off[a[lo] + 1]]
+        mark[mine] = True
+        for at in range(lo, hi, 1000):
+            partners = b[at : min(hi, at + 1000)]
+            total = np.concatenate([[0], np.cumsum(mark[np.concatenate([code[off[k] : off[k + 1]] for k in partners])])])
+            common[at : at + len(partners)] = np.diff(total[np.concatenate([[0], np.cumsum(count[partners])])])
+        mark[mine] = False
+    ok = common >= threshold * (size[a] + size[b] - common) - 1e-9
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.table([pa.array(x[ok], t) for x, t in zip((sig[a], sig[b], size[a], size[b], common), kinds, strict=True)], names=["sig_a", "sig_b", "size_a", "size_b", "common"])
+
+
 def _set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(sig_a, sig_b, size_a, size_b, common) of verified pairs of distinct sets."""
     live = sets.where("cut > 0")
@@ -236,10 +263,15 @@ def _set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     several = members.groupBy("gid").count().where("count > 1").select("gid")
     inside = members.join(several, "gid")
     within = inside.select("gid", F.col("sig").alias("sig_a")).join(inside.select("gid", F.col("sig").alias("sig_b")), "gid").where("sig_a < sig_b").select("sig_a", "sig_b")
-    lists = live.select("sig", "size", "grams")
-    la, lb = lists.select([F.col(c).alias(f"{c}_a") for c in lists.columns]), lists.select([F.col(c).alias(f"{c}_b") for c in lists.columns])
-    checked = across.unionByName(within).join(la, "sig_a").join(lb, "sig_b").select("sig_a", "sig_b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
-    return checked.where(F.col("common") >= F.lit(threshold) * (F.col("size_a") + F.col("size_b") - F.col("common")) - F.lit(1e-9))
+    candidates = written(across.unionByName(within))
+    # lists are sent once for each block of candidates that hang together, not once for each pair
+    ends = candidates.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")).union(candidates.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")))
+    least = ends.groupBy("sig").agg(F.least(F.min("other"), F.first("sig")).alias("least"))
+    bucket = F.pmod(F.xxhash64("least"), F.lit(4 * shuffle_partitions(sets.sparkSession))).cast("int").alias("bucket")
+    placed = candidates.join(least.select(F.col("sig").alias("sig_a"), bucket), "sig_a").select("bucket", "sig_a", "sig_b")
+    needed = placed.select(F.col("bucket").alias("place"), F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
+    lists = needed.join(live.select("sig", "size", "grams"), "sig").select("place", "sig", "size", "grams")
+    return placed.groupBy("bucket").cogroup(lists.groupBy("place")).applyInArrow(cogrouped(_verify, threshold=threshold), "sig_a long, sig_b long, size_a int, size_b int, common int")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.4) -> DataFrame:
