@@ -131,9 +131,9 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     spark = prepare(docs.sparkSession)
     kinds = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__wl_id")).agg(F.min("quality").alias("lo"))
     good = kinds.where("lo = 1").select("__wl_id")
-    texts = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    held = texts.join(good, texts["doc_id"] == good["__wl_id"], "left_semi")
-    rows = written(held.select("stratum", measures("text").alias("m")).select("stratum", *[f"m.{r}" for r in RULES]))
+    # measures first, so that the join moves them and not the texts; an inner join, as a semi-join would be pushed below them
+    texts = docs.where("text <> ''").select(F.col("doc_id").alias("__wl_doc"), F.col(stratum).cast("string").alias("stratum"), measures(F.col("text").cast("string")).alias("m"))
+    rows = written(texts.join(good, F.col("__wl_doc") == F.col("__wl_id")).select("stratum", *[f"m.{r}" for r in RULES]))
     counts = rows.groupBy("stratum").count().collect()
     rate, level = alpha / len(RULES), delta / (len(RULES) * max(1, len(counts)))
     ranks = spark.createDataFrame([(r["stratum"], r["count"], cautious_rank(r["count"], rate, level)) for r in counts], "stratum string, n long, k int")
