@@ -27,12 +27,12 @@ itself isn't reported.  Other columns are ignored.  An empty table gives no rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import _blobs as B
@@ -209,7 +209,7 @@ def document_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     spark = prepare(docs.sparkSession)
     parts = 2 * shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    blobs = rows.mapInArrow(partial(_scatter, n=n, buckets=2 * parts), "bucket int, blob binary")
+    blobs = rows.mapInArrow(partial(_scatter, n=n, buckets=parts), "bucket int, blob binary")
     shared = blobs.groupBy("bucket").applyInArrow(grouped(_shared, parts=parts), "part int, kind byte, blob binary")
     return written(shared.groupBy("part").applyInArrow(grouped(_sets, threshold=threshold), _SETS))
 
@@ -240,23 +240,34 @@ def _verify(pairs: pa.Table, lists: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(x[ok], t) for x, t in zip((sig[a], sig[b], size[a], size[b], common), kinds, strict=True)], names=["sig_a", "sig_b", "size_a", "size_b", "common"])
 
 
+def _seeded(k: int) -> Callable[[Column], Column]:
+    return lambda g: F.hash(g, F.lit(k))
+
+
 def _set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(sig_a, sig_b, size_a, size_b, common) of verified pairs of distinct sets."""
     live = sets.where("cut > 0")
     keyed = live.select("sig", "size", F.slice("grams", 1, F.col("cut")).alias("prefix"), "alone", "cut", F.size("grams").alias("n_shared"))
     keyed = keyed.withColumn("gid", F.xxhash64("prefix", "size"))
     groups = keyed.groupBy("gid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.max("n_shared").alias("n_shared"))
-    posted = groups.select("gid", "size", "n_shared", F.posexplode("prefix").alias("pos", "gram"))
-    a, b = posted.select([F.col(c).alias(f"{c}_a") for c in posted.columns]), posted.select([F.col(c).alias(f"{c}_b") for c in posted.columns])
+    # two hash minima of the prefix: groups that agree on one are a pair already, so the n-gram join,
+    # which meets a pair at every n-gram that its prefixes share, is left with those that agree on none
+    marked = groups.withColumns({f"m{k}": F.array_min(F.transform("prefix", _seeded(k))) for k in (1, 2)})
+    a, b = ([F.col(c).alias(f"{c}_{x}") for c in ("gid", "size", "n_shared", "m1", "m2")] for x in "ab")
+    sized = ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("gid_a") < F.col("gid_b")))) & (F.col("size_a") >= F.lit(threshold) * F.col("size_b") - F.lit(1e-9))
+    ma, mb = marked.select(*a), marked.select(*b)
+    first = ma.join(mb, (F.col("m1_a") == F.col("m1_b")) & sized)
+    second = ma.join(mb, (F.col("m2_a") == F.col("m2_b")) & (F.col("m1_a") != F.col("m1_b")) & sized)
+    posted = marked.select("gid", "size", "n_shared", "m1", "m2", F.posexplode("prefix").alias("pos", "gram"))
+    pa_, pb = posted.select(*a, F.col("pos").alias("pos_a"), F.col("gram").alias("gram_a")), posted.select(*b, F.col("pos").alias("pos_b"), F.col("gram").alias("gram_b"))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9))
-    near = (
-        a.join(b, F.col("gram_a") == F.col("gram_b"))
-        .where((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("gid_a") < F.col("gid_b"))))
-        .where(F.col("size_a") >= F.lit(threshold) * F.col("size_b") - F.lit(1e-9))
+    rest = (
+        pa_.join(pb, (F.col("gram_a") == F.col("gram_b")) & (F.col("m1_a") != F.col("m1_b")) & (F.col("m2_a") != F.col("m2_b")) & sized)
         .where(F.least(F.col("n_shared_a") - F.col("pos_a"), F.col("n_shared_b") - F.col("pos_b")) >= need)
         .select("gid_a", "gid_b")
         .distinct()
     )
+    near = first.select("gid_a", "gid_b").union(second.select("gid_a", "gid_b")).union(rest)
     members = keyed.select("gid", "sig")
     ga, gb = members.select(F.col("gid").alias("gid_a"), F.col("sig").alias("sig_a")), members.select(F.col("gid").alias("gid_b"), F.col("sig").alias("sig_b"))
     across = near.join(ga, "gid_a").join(gb, "gid_b").select("sig_a", "sig_b")
