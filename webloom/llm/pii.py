@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal data.
 
 Values found in texts are validated and then permuted within the set of valid values of their
-format by a keyed Feistel network, so equal values get equal pseudonyms in all documents, two
-different values never share one, and the key's holder can undo it (``Pseudonyms(key).undo``).
+format by a keyed Feistel network, so equal values (but for case) get equal pseudonyms in all
+documents, two different ASCII values never share one, and the key's holder can undo it
+(``Pseudonyms(key).undo``).
 
   card     13 to 19 digits that pass the Luhn test, plain or in groups of 4-4-4-4 or 4-6-5 with one
            separator: all but the check digit are permuted, which is then computed anew
@@ -30,9 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from datetime import date
-from functools import cache, partial
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,18 +49,18 @@ _PATTERN = re.compile(
     r"""(?P<assigned>\b(?:token|api[_-]?key|key|secret|password)\W{1,8}(?P<value>[A-Za-z0-9_\-]{16,}))
     |(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))
     |(?P<email>(?<![\w.+%-])[\w+%-][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[A-Za-z]{2,})
-    |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,4})?)(?!\w))
-    |(?P<iso>(?<![\w-])(?P<y1>\d{4})-(?P<m1>\d\d)-(?P<d1>\d\d)(?![\w-]))
-    |(?P<slash>(?<![\w/])(?P<d2>\d{1,2})/(?P<m2>\d{1,2})/(?P<y2>\d{4})(?![\w/]))
-    |(?P<dots>(?<![\w.])(?P<d3>\d{1,2})\.(?P<m3>\d{1,2})\.(?P<y3>\d{4})(?!\w|\.\d))
-    |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
-    |(?P<phone>\+\d{1,3}"""
+    |(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,4})?)(?!\w))
+    |(?P<iso>(?<![\w-])(?P<y1>[0-9]{4})-(?P<m1>[0-9][0-9])-(?P<d1>[0-9][0-9])(?![\w-]))
+    |(?P<slash>(?<![\w/])(?P<d2>[0-9]{1,2})/(?P<m2>[0-9]{1,2})/(?P<y2>[0-9]{4})(?![\w/]))
+    |(?P<dots>(?<![\w.])(?P<d3>[0-9]{1,2})\.(?P<m3>[0-9]{1,2})\.(?P<y3>[0-9]{4})(?!\w|\.[0-9]))
+    |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
+    |(?P<phone>\+[0-9]{1,3}"""
     + _SEP
-    + r"""\d{3}"""
+    + r"""[0-9]{3}"""
     + _SEP
-    + r"""\d{3}[-.\ ]\d{4}(?!\w))
-    |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-    |(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}(?P<sep>[\ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}(?P<sep2>[\ -])\d{6}(?P=sep2)\d{5})(?!\w))
+    + r"""[0-9]{3}[-.\ ][0-9]{4}(?!\w))
+    |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
+    |(?P<card>(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[\ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}(?P<sep2>[\ -])[0-9]{6}(?P=sep2)[0-9]{5})(?!\w))
     """,
     re.VERBOSE | re.IGNORECASE,
 )
@@ -74,6 +75,11 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _is_hex(text: str) -> bool:
+    """Whether a string is hexadecimal in one case."""
+    return text in (text.lower(), text.upper()) and all(c in _HEX for c in text.lower())
+
+
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
@@ -136,6 +142,8 @@ class Pseudonyms:
                 out[i] = c
         for k, i in enumerate(i for i, c in enumerate(low) if c.isalpha() and c not in _LETTERS):
             out[i] = _LETTERS[self._round(k, odd.encode(), i, 26)]
+        if hexa and text.isupper():
+            return "".join(out).upper()
         return "".join(o.upper() if c.isupper() else o for o, c in zip(out, text, strict=True)) if len(low) == len(text) else "".join(out)
 
     def _into(self, text: str, digits: str) -> str:
@@ -152,7 +160,7 @@ class Pseudonyms:
 
     def iban(self, text: str) -> str | None:
         flat = text.replace(" ", "").upper()
-        if not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1 or int(flat[2:4]) not in range(2, 99):
+        if not text.isascii() or not 15 <= len(flat) <= 34 or _mod97(flat[4:] + flat[:4]) != 1 or int(flat[2:4]) not in range(2, 99):
             return None
         body = self.classes(flat[4:], b"iban" + flat[:2].encode())
         new = iter(flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02d}" + body)
@@ -217,13 +225,12 @@ class Pseudonyms:
         kind, text = m.lastgroup, m.group()
         if m["assigned"] is not None:
             value = m["value"]
-            if not (any(c in _DIGITS for c in value) and any(c.isalpha() for c in value)):
+            if not (value.isascii() and any(c in _DIGITS for c in value) and any(c.isalpha() for c in value)):
                 return None
-            hexa = all(c in _HEX for c in value.lower())
-            return text[: -len(value)] + self.classes(value, b"secret", hexa)
+            return text[: -len(value)] + self.classes(value, b"secret", _is_hex(value))
         if m["hex"] is not None:
-            ok = any(c in _DIGITS for c in text) and any(c.isalpha() for c in text)
-            return self.classes(text, b"secret", True) if ok else None
+            ok = text.isascii() and any(c in _DIGITS for c in text) and any(c.isalpha() for c in text)
+            return self.classes(text, b"secret", _is_hex(text)) if ok else None
         if m["email"] is not None:
             return self._email(text)
         if m["iban"] is not None:

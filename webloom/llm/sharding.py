@@ -119,5 +119,5 @@ def with_shards(docs: DataFrame, limit: int, broadcast_rows: int = 200_000) -> D
 
 
 def write_shards(docs: DataFrame, path: str, limit: int) -> None:
-    """One folder of Parquet for each shard, below ``path``."""
-    with_shards(docs, limit).drop("depth", "shard_bytes", "fits").repartition("shard").write.partitionBy("shard").parquet(path)
+    """One folder of Parquet for each shard, below ``path``; names start with b, as bits alone would be read back as numbers."""
+    with_shards(docs, limit).withColumn("shard", F.concat(F.lit("b"), "shard")).drop("depth", "shard_bytes", "fits").repartition("shard").write.partitionBy("shard").parquet(path)
