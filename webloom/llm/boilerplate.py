@@ -102,6 +102,11 @@ def _page_ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("page_id").fill_null(-(1 << 62)))
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """Half of each token's hash; a window of them identifies it."""
+    return tokens >> _U(32)
+
+
 def _parse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tokens, first = X.words(batch.column("text"))
     return tokens, first, _host_hash(batch.column("host"))
@@ -141,9 +146,9 @@ def _spans(batches: Iterator[pa.RecordBatch], path: str, shards: int, slices: in
         row = np.searchsorted(first, start, side="right") - 1
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(start) != 1)]))
         lo, hi = start[new], np.append(start[new[1:] - 1], start[-1]) + least
-        pages, out = _page_ids(b), []
+        pages, out, short = _page_ids(b), [], _short(tokens).astype(np.uint32)
         for i, a, z in zip(new.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            raw, page = tokens[a:z].tobytes(), int(pages[row[i]])
+            raw, page = short[a:z].tobytes(), int(pages[row[i]])
             key = (int(h[i]), hash(raw))
             known = sent.get(key)
             if known is None:
@@ -182,7 +187,7 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
 
 def _repeats(table: pa.Table, least: int) -> pa.Table:
     """One slice → the hashes of windows that stand in two pages or more of a host."""
-    spans = [np.frombuffer(x, _U) for x in table.column("tokens").to_pylist()]
+    spans = [np.frombuffer(x, np.uint32).astype(_U) for x in table.column("tokens").to_pylist()]
     pages, hosts = np.asarray(table.column("page_id")), np.asarray(table.column("host")).view(_U)
     sizes = np.array([len(x) for x in spans])
     stream = np.concatenate([np.append(x, X.mix(np.array([i], _U))) for i, x in enumerate(spans)])  # a mark of its own ends each span
@@ -212,7 +217,7 @@ def _clean(path: str, shards: int, least: int) -> Callable:
         if len(tokens) >= least:
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             start = np.flatnonzero(np.arange(len(tokens)) + least <= first[1:][row])
-            h = X.mix(_roll(tokens, least)[start] ^ _host_hash(host)[row[start]])
+            h = X.mix(_roll(_short(tokens), least)[start] ^ _host_hash(host)[row[start]])
             hit = start[Reader.at(path, shards).probe(h.view(np.int64))[0] > 0]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + least, -1)
