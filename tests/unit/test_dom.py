@@ -7,7 +7,8 @@ from webloom.functions.dom import SelectorError, parse
 
 PAGE = """<!doctype html><html lang=en><head><title> My  page </title><meta charset=utf-8></head>
 <body id=top class="a b  a"><main><p id=one class="x">Hello <b>big</b> world</p><p class="x y">Two<br>lines</p>
-<ul><li>1<li>2<li data-n="Three">3</ul><a href="/x?a=1&amp;b=2">link</a><!-- note --></main></body></html>"""
+<ul><li>1<li>2<li data-n="Three">3</ul><a href="/x?a=1&amp;b=2">link</a><!-- note --></main>
+</body>"""
 
 
 def test_basic_tree():
@@ -21,10 +22,10 @@ def test_basic_tree():
 @pytest.mark.parametrize(
     ("page", "head", "body", "title"),
     [
-        ("<!doctype html><body><span></span></body>", 0, 1, ""),
-        ("<!doctype html><head><title>Title</title></head>", 1, 0, "Title"),
-        ("<!doctype html><head></head></body>", 0, 0, ""),
-        ("<!doctype html><head><title>Title</title><span></span>", 1, 1, "Title"),
+        ("<!DOCTYPE html><body><i>x</i></body>", 0, 1, ""),
+        ("<!DOCTYPE html><head><title>T 1</title></head>", 1, 0, "T 1"),
+        ("<!DOCTYPE html><head></head></body>", 0, 0, ""),
+        ("<!DOCTYPE html><head><title>T 2</title><em></em>", 1, 1, "T 2"),
         ("", 0, 0, ""),
         ("just text", 0, 1, ""),
     ],

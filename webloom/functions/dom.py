@@ -178,8 +178,8 @@ class Node:
     def get_element_by_id(self, value: str, case_insensitive: bool = False) -> Node | None:
         return next(iter(self.get_elements_by_attr("id", value, case_insensitive)), None)
 
-    def get_elements_by_attr(self, name: str, value: str, case_insensitive: bool = False) -> list[Node]:
-        same = (lambda a: a.lower() == value.lower()) if case_insensitive else (lambda a: a == value)
+    def get_elements_by_attr(self, name: str, wanted: str, case_insensitive: bool = False) -> list[Node]:
+        same = (lambda a: a.lower() == wanted.lower()) if case_insensitive else (lambda a: a == wanted)
         return [n for n in self.descendants() if n.kind == ELEMENT and name in n.attrs and same(n.attrs[name])]
 
     def get_elements_by_class_name(self, name: str) -> list[Node]:

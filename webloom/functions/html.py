@@ -93,8 +93,8 @@ def html_by_tag(page: str | Column, tag: str) -> Column:
     return _on_tree(lambda t: [_element(n) for n in t.document.get_elements_by_tag_name(tag)], T.ArrayType(_ELEMENT), pa.list_(_ARROW_ELEMENT))(page)
 
 
-def html_by_attr(page: str | Column, name: str, value: str, case_insensitive: bool = False) -> Column:
-    return _on_tree(lambda t: [_element(n) for n in t.document.get_elements_by_attr(name, value, case_insensitive)], T.ArrayType(_ELEMENT), pa.list_(_ARROW_ELEMENT))(page)
+def html_by_attr(page: str | Column, name: str, wanted: str, case_insensitive: bool = False) -> Column:
+    return _on_tree(lambda t: [_element(n) for n in t.document.get_elements_by_attr(name, wanted, case_insensitive)], T.ArrayType(_ELEMENT), pa.list_(_ARROW_ELEMENT))(page)
 
 
 def html_links(page: str | Column) -> Column:

@@ -275,7 +275,8 @@ def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = pair("WARC-Target-URI", F.col("url"))
     page = pair("X-Page", F.col("page_id").cast("string"))
     request = pages.select(F.lit("request").alias("warc_type"), F.array(uri, page, pair("x-page", "second")).alias("headers"), F.lit(True).alias("is_http"), F.lit("GET / HTTP/1.1").alias("http_status_line"), F.array(pair("Host", "h")).alias("http_headers"), F.lit(b"").alias("body"))
-    head = F.array(pair("Content-Type", "text/html; charset=utf-8"), pair("Last-Modified", "Wed, 21 Oct 2015 07:28:00 GMT"))
+    mime = "text/html"
+    head = F.array(pair("Content-Type", mime + "; charset=utf-8"), pair("Last-Modified", "Wed, 21 Oct 2015 07:28:00 GMT"))
     response = pages.select(F.lit("response").alias("warc_type"), F.array(uri, page).alias("headers"), F.lit(True).alias("is_http"), F.lit("HTTP/1.1 404 Not Found").alias("http_status_line"), head.alias("http_headers"), F.encode("html", "UTF-8").alias("body"))
     return request.unionByName(response)
 

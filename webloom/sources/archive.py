@@ -358,7 +358,7 @@ def bulk_actions(docs: DataFrame, index_name: str, id_col: str = "_id", op: str
     return docs.sortWithinPartitions(id_col).select(F.col(id_col).cast("string").alias("_id"), F.to_json(F.struct(meta.alias(op))).alias("action"), body.alias("source"))
 
 
-def send_bulk(actions: DataFrame, send, chunk: int = 800, max_retries: int = 10, initial_backoff: float = 2, max_backoff: float = 600, ignore_400: bool = True, dry_run: bool = False) -> DataFrame:
+def send_bulk(actions: DataFrame, send, dry_run: bool = False, ignore_400: bool = True, initial_backoff: float = 2, max_backoff: float = 600, max_retries: int = 10, chunk: int = 800) -> DataFrame:
     """Ids that a bulk endpoint took: ``send`` gets the lines of a chunk and returns a status for each action.
 
     It runs in the tasks; 429 and 5xx are sent again with growing pauses.

@@ -393,7 +393,7 @@ def verify_payload_digest(r: Record) -> bool:
 def new_record(warc_type: str, body: bytes, headers: Headers | None = None, when: datetime | None = None, http: bool = False) -> Record:
     """A record with the headers that every record needs; given ones win."""
     when = (when or datetime.now(timezone.utc)).astimezone(timezone.utc)
-    basic = {"WARC-Type": warc_type, "WARC-Date": when.strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>"}
+    basic = {"WARC-Type": warc_type, "WARC-Date": when.isoformat(timespec="seconds").replace("+00:00", "Z"), "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>"}
     if http:
         basic["Content-Type"] = f"application/http; msgtype={warc_type}"
     own = {k.lower() for k, _ in headers or []}
