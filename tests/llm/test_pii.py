@@ -56,6 +56,16 @@ def test_other_key_other_pseudonym():
     assert P.text("97.51.17.173") != Pseudonyms(b"other").text("97.51.17.173")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*VALID, *INVALID, "word", "a@b", "\n", "@", "7", "x" * 90, "token =", "é.1@x.de", "GB82", "WEST", "...", "+1", "(555)"]), max_size=12), st.sampled_from([" ", "", "  ", ", "]))
+def test_looking_around_hints_finds_what_a_full_scan_finds(parts, gap):
+    from webloom.llm import pii
+
+    text = gap.join(parts)
+    spans = lambda found: [m.span() for m in found if pii._HINT.search(m.group())]
+    assert spans(pii._matches(text)) == spans(pii._PATTERN.finditer(text))
+
+
 def test_neighbours_and_junk():
     text = "7536784127813050 4845168114407329 +1!! (974)!! 555-3436!! THE.55@MAIL9.EXAMPLE.COM###"
     new, n = P.text(text)

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date
 from functools import cache
 
@@ -84,6 +84,40 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _matches(text: str) -> Iterator[re.Match]:
+    """The matches in order.  Every match holds a digit or an @, so the pattern is tried only around these.
+
+    Before its first one, a match has no more than the run of characters that it stands in and an
+    assignment; behind its last one, no more than that run and the rest of a group.
+    """
+    end = len(text)
+    done, a, z = 0, -1, -1
+    for m in _HINT.finditer(text):
+        if m.start() >= z:
+            if a >= 0:
+                for found in _PATTERN.finditer(text, max(a, done), z):
+                    done = found.end()
+                    yield found
+            a = max(_run_start(text, m.start()) - _LEAD, 0)
+        z = max(z, min(_run_end(text, m.end()) + _TAIL, end))
+    if a >= 0:
+        yield from _PATTERN.finditer(text, max(a, done), z)
+
+
+_HINT = re.compile(r"[0-9@]+")
+_SPACE = re.compile(r"\s")
+_LEAD, _TAIL = 24, 48
+
+
+def _run_start(text: str, at: int) -> int:
+    return max(text.rfind(c, 0, at) for c in " \n\t") + 1
+
+
+def _run_end(text: str, at: int) -> int:
+    m = _SPACE.search(text, at)
+    return m.start() if m else len(text)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, inverse: bool = False):
         self.key, self.inverse = hashlib.blake2b(key, digest_size=32).digest(), inverse
@@ -245,7 +279,7 @@ class Pseudonyms:
     def text(self, text: str) -> tuple[str, int]:
         """The text with its values replaced, and how many were."""
         out, at, done = [], 0, 0
-        for m in _PATTERN.finditer(text):
+        for m in _matches(text):
             new = self._one(m)
             if new is not None:
                 out += [text[at : m.start()], new]
