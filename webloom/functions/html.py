@@ -191,6 +191,3 @@ def register(spark: SparkSession) -> None:
         "detect_encoding": detect_encoding,
     }.items():
         spark.udf.register(name, plain(f, "string"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]

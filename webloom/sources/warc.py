@@ -10,12 +10,12 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
 from webloom.sources import codecs as C
-from webloom.sources.codecs import PLAIN, StreamError
+from webloom.sources.codecs import PLAIN
 
 TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation", "unknown")
 _WS = b" \t\n\v\f\r"
@@ -35,7 +35,6 @@ class Record:
     http_headers: Headers | None = None
     http_block: bytes = b""
     filename: str = ""
-    _type: str = field(default="", repr=False)
 
     @property
     def warc_type(self) -> str:
@@ -101,7 +100,7 @@ def parse_headers(data: bytes, at: int, status: bool, strict: bool = True, chars
         line, at = data[at:end], end
         if line == b"\r\n" or (line == b"\n" and not strict):
             break
-        if line[:1] in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") and line[:1]:
+        if line[:1].isspace():
             if out:
                 out[-1][1] += b" " + line.strip(_WS)
         elif status and line_of_status is None:
@@ -423,6 +422,3 @@ def serialise(r: Record, checksum: bool = False) -> bytes:
         out.append(_clean(k) + b": " + _clean(value))
     out += [k.encode() + b": " + v.encode() for k, v in set_.values()]
     return b"\r\n".join(out) + b"\r\n\r\n" + block + payload + b"\r\n\r\n"
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["StreamError"]
