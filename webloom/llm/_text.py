@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 17
 _U = np.uint64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

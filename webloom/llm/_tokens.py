@@ -31,7 +31,7 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 class Counter:
-    def __init__(self, path: str, most: int = 4_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         self.encode, self.most = encoding(path).encode_ordinary, most
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.uint32)
 

@@ -41,7 +41,7 @@ from webloom.llm._arrow import cogrouped, grouped
 from webloom.session import prepare, shuffle_partitions, written
 
 _U = np.uint64
-_FLUSH = 4_000_000
+_FLUSH = 3_000_000
 #: Hash bits dropped for the exchange of step 1, so that sorted gaps take 4 bytes.  N-grams that agree on
 #: the other 48 are taken as one, which matters only to two sets that hold one each: size**2 / 2**48.
 _DROP = 16
