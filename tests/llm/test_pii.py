@@ -66,6 +66,31 @@ def test_looking_around_hints_finds_what_a_full_scan_finds(parts, gap):
     assert spans(pii._matches(text)) == spans(pii._PATTERN.finditer(text))
 
 
+LATE = ["password: abcdefghijklmnopqrstuvwxyzabcd1234", "secret=" + "-" * 60 + "a1", "a" * 70 + "@x.de", "token: reset-your-password: abcdefghijklmnopqrst@x.de"]
+
+
+@pytest.mark.parametrize("value", LATE)
+@pytest.mark.parametrize("before", ["2024-01-01 the admin set ", "7 " + "x" * 40 + " ", "@ ", "7 " + "x " * 15, "and then "])
+def test_values_across_the_end_of_a_window_are_found_whole(before, value):
+    from webloom.llm import pii
+
+    text = f"{before}{value} ok"
+    spans = lambda found: [m.span() for m in found]
+    assert spans(pii._matches(text)) == spans(pii._PATTERN.finditer(text))
+    new = P.text(text)[0]
+    assert value.split()[-1] not in new and UNDO(new)[0] == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*VALID, *INVALID, *LATE, "word", "7", "@", "x" * 45, "-" * 20, "password: ", "key"]), max_size=12), st.sampled_from([" ", "", "\n", "x "]))
+def test_looking_around_hints_finds_late_digits_too(parts, gap):
+    from webloom.llm import pii
+
+    text = gap.join(parts)
+    spans = lambda found: [m.span() for m in found if pii._HINT.search(m.group())]
+    assert spans(pii._matches(text)) == spans(pii._PATTERN.finditer(text))
+
+
 def test_neighbours_and_junk():
     text = "7536784127813050 4845168114407329 +1!! (974)!! 555-3436!! THE.55@MAIL9.EXAMPLE.COM###"
     new, n = P.text(text)

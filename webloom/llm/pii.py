@@ -85,13 +85,14 @@ def _mod97(text: str) -> int:
 
 
 def _matches(text: str) -> Iterator[re.Match]:
-    """The matches in order.  Every match holds a digit or an @, so the pattern is tried only around these.
+    """The matches in order.  What is replaced holds a digit or an @, so the pattern is tried only around these and around
+    the words of an assignment, whose value is passed over even if it stays.
 
-    Before its first one, a match has no more than the run of characters that it stands in and an
-    assignment; behind its last one, no more than that run and the rest of a group.
+    Before its first one of them, a match has no more than the run of characters that it stands in; behind its last one, no
+    more than that run and the rest of a group.  A window ends where a run does, so that none cuts a value short.
     """
     end = len(text)
-    done, a, z = 0, -1, -1
+    done, a, z, run = 0, -1, -1, -1
     for m in _HINT.finditer(text):
         if m.start() >= z:
             if a >= 0:
@@ -99,12 +100,14 @@ def _matches(text: str) -> Iterator[re.Match]:
                     done = found.end()
                     yield found
             a = max(_run_start(text, m.start()) - _LEAD, 0)
-        z = max(z, min(_run_end(text, m.end()) + _TAIL, end))
+        if m.end() > run:
+            run = _run_end(text, m.end())
+            z = _run_end(text, min(run + _TAIL, end))
     if a >= 0:
         yield from _PATTERN.finditer(text, max(a, done), z)
 
 
-_HINT = re.compile(r"[0-9@]+")
+_HINT = re.compile(r"[0-9@]+|token|key|secret|password", re.IGNORECASE)
 _SPACE = re.compile(r"\s")
 _LEAD, _TAIL = 24, 48
 
