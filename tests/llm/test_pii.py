@@ -66,6 +66,34 @@ def test_looking_around_hints_finds_what_a_full_scan_finds(parts, gap):
     assert spans(pii._matches(text)) == spans(pii._PATTERN.finditer(text))
 
 
+PHONES = ["+14155552671", "+442071838750", "+49301234567", "+12345678", "(415) 555-2671", "(415)555-2671", "415-555-2671", "415.555.2671", "1-415-555-2671", "1 (415) 555-2671", "+1-415-555-2671"]
+
+
+@pytest.mark.parametrize("value", PHONES)
+def test_phones_without_separators_or_country(value):
+    text = f"call {value}, or not."
+    new, n = P.text(text)
+    shape = lambda s: "".join("9" if c.isdigit() else c for c in s)
+    assert n == 1 and new != text and shape(new) == shape(text) and UNDO(new) == (text, 1)
+    assert value[0] not in "+1" or new[5:7] == text[5:7]
+
+
+def test_one_phone_number_has_one_pseudonym():
+    digits = {"".join(c for c in P.text(v)[0] if c.isdigit()) for v in ("+14155552671", "+1 (415) 555-2671", "1-415-555-2671", "+1-415-555-2671")}
+    assert len(digits) == 1
+
+
+@pytest.mark.parametrize("value", ["2024-03-12T10:00", "2024-03-12T10:00:05.123Z", "2024-03-12t10:00:00+01:00"])
+def test_dates_of_timestamps(value):
+    new, n = P.text(f"at {value} sharp")
+    assert n == 1 and new[3:13] != value[:10] and new[13:] == value[10:] + " sharp" and date.fromisoformat(new[3:13]) and UNDO(new) == (f"at {value} sharp", 1)
+
+
+@pytest.mark.parametrize("value", ["2024-03-12Tx", "2024-13-12T10:00", "+1234567", "+1234567890123456", "5+12345678", "12-415-555-2671", "415-555-26711", "415-555.2671", "415-555-2671-9", "1.415.555.2671.3"])
+def test_what_only_looks_like_a_phone_or_timestamp_stays(value):
+    assert P.text(f"see {value} there") == (f"see {value} there", 0)
+
+
 LATE = ["password: abcdefghijklmnopqrstuvwxyzabcd1234", "secret=" + "-" * 60 + "a1", "a" * 70 + "@x.de", "token: reset-your-password: abcdefghijklmnopqrst@x.de"]
 
 

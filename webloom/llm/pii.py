@@ -9,10 +9,12 @@ documents, two different ASCII values never share one, and the key's holder can
            separator: all but the check digit are permuted, which is then computed anew
   iban     country code kept, account part permuted by class, check digits (mod 97) computed anew
   ssn      ddd-dd-dddd with a valid area, group and serial: stays valid
-  phone    +country (area) number: the ten digits behind the country code are permuted
+  phone    +country (area) number, + and 8 to 15 digits, and (ddd) ddd-dddd, ddd-ddd-dddd and ddd.ddd.dddd with or without a 1 in
+           front: the last ten digits are permuted, but for at least one behind a +; numbers in other groups stay
   ip       four octets of 0 to 255: permuted as 32 bits
   date     yyyy-mm-dd, dd/mm/yyyy, mm/dd/yyyy and dd.mm.yyyy that exist in 1900 to 2099: permuted
-           among the days of these years, in their own format; with slashes, day first if possible
+           among the days of these years, in their own format; with slashes, day first if possible; of a
+           timestamp (yyyy-mm-ddThh), the time stays
   email    letters and digits of the local part and of all labels but the last are permuted each
            within their class; letters beyond ASCII become ASCII ones chosen by the value
   secret   hexadecimal strings of 32 to 64 digits with letters and digits, and values of 16
@@ -50,7 +52,7 @@ _PATTERN = re.compile(
     |(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))
     |(?P<email>(?<![\w.+%-])[\w+%-][\w.+%-]*@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[A-Za-z]{2,})
     |(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,4})?)(?!\w))
-    |(?P<iso>(?<![\w-])(?P<y1>[0-9]{4})-(?P<m1>[0-9][0-9])-(?P<d1>[0-9][0-9])(?![\w-]))
+    |(?P<iso>(?<![\w-])(?P<y1>[0-9]{4})-(?P<m1>[0-9][0-9])-(?P<d1>[0-9][0-9])(?=T[0-9]|(?![\w-])))
     |(?P<slash>(?<![\w/])(?P<d2>[0-9]{1,2})/(?P<m2>[0-9]{1,2})/(?P<y2>[0-9]{4})(?![\w/]))
     |(?P<dots>(?<![\w.])(?P<d3>[0-9]{1,2})\.(?P<m3>[0-9]{1,2})\.(?P<y3>[0-9]{4})(?!\w|\.[0-9]))
     |(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
@@ -58,7 +60,9 @@ _PATTERN = re.compile(
     + _SEP
     + r"""[0-9]{3}"""
     + _SEP
-    + r"""[0-9]{3}[-.\ ][0-9]{4}(?!\w))
+    + r"""[0-9]{3}[-.\ ][0-9]{4}(?!\w)
+        |(?<!\w)\+[0-9]{8,15}(?!\w)
+        |(?<![\w.-])(?:1[-.\ ])?(?:\([0-9]{3}\)\ ?[0-9]{3}-|[0-9]{3}(?P<sep3>[-.])[0-9]{3}(?P=sep3))[0-9]{4}(?![\w-]|\.[0-9]))
     |(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
     |(?P<card>(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[\ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}(?P<sep2>[\ -])[0-9]{6}(?P=sep2)[0-9]{5})(?!\w))
     """,
@@ -215,8 +219,8 @@ class Pseudonyms:
 
     def phone(self, text: str) -> str:
         d = "".join(c for c in text if c in _DIGITS)
-        code = d[:-10]
-        return self._into(text, code + self.string(d[-10:], _DIGITS, b"phone" + code.encode()))
+        code = d[: max(len(d) - 10, text[0] == "+")]
+        return self._into(text, code + self.string(d[len(code) :], _DIGITS, b"phone" + code.encode()))
 
     def ip(self, text: str) -> str | None:
         octets = [int(x) for x in text.split(".")]
