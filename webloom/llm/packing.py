@@ -5,7 +5,8 @@ pieces of at most ``capacity`` tokens: whole ones first, then the rest.  A seque
 greedily, largest piece that fits first.  When nothing more fits and the sequence isn't full,
 its smallest piece is taken back if two pieces not yet packed fit the gap so widened more
 tightly than it did; of all such pairs the one that leaves the least gap wins, and among equals
-the one with the largest piece.
+the one with the largest piece.  A sequence of one piece keeps it, even if two others would fill
+it better: sizes 6, 5, 5 at a capacity of 10 become [6] and [5, 5] in this order.
 
 Documents are dealt to shards by a hash of doc_id, about ``docs_per_shard`` each, and shards
 are packed side by side; only (doc_id, tokens) travels, no text.  A shard works on counts per
