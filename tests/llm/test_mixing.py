@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tests.llm.data import DOCS, VOCABULARY, awkward, rows, words
-from webloom.llm.mixing import DOMAINS, fit, features, mixed, mixing_rates, repeated
+from webloom.llm.mixing import DOMAINS, classifier, fit, features, mixed, mixing_rates, repeated
 
 LABELS = "doc_id long, quality int, toxic int"
 TARGETS = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
@@ -62,6 +62,15 @@ def test_awkward_rows(spark):
     assert back.count() == sum(r.copies for r in got)
 
 
+def test_labels_without_documents_use_up_no_sample_rows(spark):
+    docs, labels = corpus(60)
+    df = spark.createDataFrame([*docs, *docs[:5], (None, *docs[0][1:])], DOCS)
+    gone = [(i, i % 2, 0) for i in range(1000, 3000)]
+    want = classifier(df, spark.createDataFrame(labels, LABELS), sample_rows=40)
+    assert any(np.frombuffer(want, np.float32))
+    assert classifier(df, spark.createDataFrame([*gone, *labels], LABELS), sample_rows=40) == want
+
+
 def test_no_labels_and_no_rows(spark):
     df, none = spark.createDataFrame(rows([(1, "a b"), (2, None)]), DOCS), spark.createDataFrame([], LABELS)
     assert {(round(r.p_clean, 6), round(r.p_low, 6)) for r in mixing_rates(df, none, TARGETS, VOCABULARY).collect()} == {(0.333333, 0.333333)}

@@ -2,7 +2,8 @@
 
 Domains are the classes of the labels table: clean (good quality, not toxic), low (bad quality)
 and toxic.  A softmax classifier over hashed words and two texture shares, fitted on a bounded
-sample of labelled rows (``sample_rows``, the smallest hashes of doc_id), gives every document
+sample of labelled rows (``sample_rows``, the smallest hashes of doc_id among the labels of
+documents that are there), gives every document
 posteriors p_k.  With t tokens, document i brings t_i p_ik expected tokens to domain k, and
 rates r_i >= 0 are sought for which the totals meet the targets: least squares over
 
@@ -148,8 +149,9 @@ def classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000) ->
     prepare(docs.sparkSession)
     worst = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").alias("__wl_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     y = F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0)
-    chosen = worst.select("__wl_id", y.cast("int").alias("y")).orderBy(F.xxhash64("__wl_id"), "__wl_id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    there = worst.join(texts.select(F.col("doc_id").alias("__wl_there")), F.col("__wl_id") == F.col("__wl_there"), "left_semi")
+    chosen = there.select("__wl_id", y.cast("int").alias("y")).orderBy(F.xxhash64("__wl_id"), "__wl_id").limit(sample_rows)
     rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__wl_id"]).select("doc_id", "y", _packed()(F.col("text")).alias("f"))
     got = rows.withColumn("__wl_all", F.lit(0)).groupBy("__wl_all").applyInArrow(grouped(_fit), "weights binary").collect()
     return bytes(got[0][0]) if got else np.zeros((_DIM, len(DOMAINS)), np.float32).tobytes()
