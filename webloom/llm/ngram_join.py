@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by grouped prefixes.
 
-Documents are sets of word n-grams (lower case, split at ASCII white space).  All pairs whose
-sets have a Jaccard similarity of at least ``threshold`` are found exactly:
+Documents are sets of word n-grams (lower case, split at ASCII white space), taken by 64-bit hashes.  Every
+pair of sets with a Jaccard similarity of at least ``threshold`` is found, up to collisions of hashes:
 
 1. every document sends its n-gram hashes, sorted and delta-coded, to buckets of the hash
    space (rows with equal sets count as one); each bucket returns the n-grams that two or more
@@ -11,18 +11,18 @@ sets have a Jaccard similarity of at least ``threshold`` are found exactly:
    Most sets have no other n-gram there and are done;
 3. sets with the same prefix and size become one group; groups that share a prefix n-gram
    are joined under the size and position filters; groups are then expanded and their
-   members verified on whole n-gram lists.
+   members verified on whole n-gram lists, in blocks of bounded size.
 
-The result is factorised, as groups of copies would else give quadratically many rows:
-``(doc_a, doc_b, jaccard)`` holds every pair of *distinct* sets, each named by its smallest
-doc_id, and one row with jaccard 1.0 from that doc_id to each other document with an equal
-set.  A pair of documents qualifies if and only if their sets are equal or are such a pair.
-``expand_pairs`` lists all pairs of documents.
+The result has one row for each document, so it grows as the input does: (doc_id, class_id,
+copies, links).  ``links`` is the number of other documents within the threshold, each verified;
+``copies`` the number of documents with an equal set, itself included; ``class_id`` the smallest doc_id that links
+lead to (a document that has none is its own class).  ``document_pairs`` lists the linked pairs.
 
 Nulls, ties and odd rows: rows without doc_id are left out; null, empty and white-space
-texts have no n-grams and are in no pair; a text of fewer than n words has one n-gram, all its
-words; rows that repeat a doc_id are kept apart by their sets, and a pair of a doc_id with
-itself isn't reported.  Other columns are ignored.  An empty table gives no rows.
+texts have no n-grams and no links; a text of fewer than n words has one n-gram, all its
+words; a text of any length is taken whole; rows that repeat a doc_id with equal sets are one, with different sets
+they have a row each, share one class and count as documents of their own.  doc_id has to be a whole number (it is cast to
+long).  Other columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,11 +37,14 @@ from pyspark.sql import functions as F
 
 from webloom.llm import _blobs as B
 from webloom.llm import _text as X
-from webloom.llm._arrow import cogrouped, grouped
+from webloom.llm._arrow import grouped
+from webloom.llm._links import classes, verified
 from webloom.session import prepare, shuffle_partitions, written
 
 _U = np.uint64
 _FLUSH = 3_000_000
+#: Input of one bucket; a worker holds about ten times as much while it sorts.
+_BUCKET_BYTES = 32 << 20
 #: Hash bits dropped for the exchange of step 1, so that sorted gaps take 4 bytes.  N-grams that agree on
 #: the other 48 are taken as one, which matters only to two sets that hold one each: size**2 / 2**48.
 _DROP = 16
@@ -71,13 +74,16 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _scatter(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text → blobs by bucket, and blobs (doc_id, set, size) under spread-out negative numbers."""
+    """doc_id, text → blobs of n-grams by bucket, and of documents (doc_id, set, size) by bucket of doc_id, numbered from -1 down."""
     rows: list[tuple[int, np.ndarray]] = []
+    members: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     seen: set[int] = set()
-    held, turn = 0, 0
+    held = waiting = 0
 
-    def batch(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        found = [*_flush(rows, buckets), *_flush_members(members, buckets)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
 
     for part in batches:
         grams, first = X.ngrams(*X.words(part.column("text")), n)
@@ -92,17 +98,28 @@ def _scatter(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterato
                 rows.append((sig, g))
                 held += len(g)
             if held >= _FLUSH:
-                if found := list(_flush(rows, buckets)):
-                    yield batch(found)
-                rows, held = [], 0
+                yield from flush()
+                rows, members, held, waiting = [], [], 0, 0
                 seen.clear()
-        some = np.array(sizes) > 0
-        if some.any():
-            turn += 1
-            blob = np.array([np.count_nonzero(some)], dtype=_U).tobytes() + ids[some].astype(np.int64).tobytes() + np.array(sigs, dtype=_U)[some].tobytes() + np.array(sizes, dtype=_U)[some].tobytes()
-            yield batch([(_MEMBERS - int(ids[some][0] % buckets), blob)])
-    if found := list(_flush(rows, buckets)):
-        yield batch(found)
+        members.append((ids.astype(np.int64), np.array(sigs, dtype=_U), np.array(sizes, dtype=_U)))
+        waiting += len(ids)
+        if waiting >= _FLUSH // 10:
+            yield from flush()
+            rows, members, held, waiting = [], [], 0, 0
+            seen.clear()
+    yield from flush()
+
+
+def _flush_members(members: list[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple[int, bytes]]:
+    if not sum(len(x[0]) for x in members):
+        return
+    ids, sigs, sizes = (np.concatenate(x) for x in zip(*members, strict=True))
+    bucket = (X.mix(ids.view(_U)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[b] : cuts[b + 1]]
+        yield _MEMBERS - b, np.array([len(at)], dtype=_U).tobytes() + ids[at].tobytes() + sigs[at].tobytes() + sizes[at].tobytes()
 
 
 def _by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +132,24 @@ def _shared(table: pa.Table, parts: int) -> pa.Table:
     """One bucket → the n-grams that two sets or more hold, sent on by set; members pass through."""
     blobs, out = [x.as_py() for x in table.column("blob")], []
     if table.column("bucket")[0].as_py() <= _MEMBERS:
+        # the rows of a doc_id are all here, each of its sets once; of a set, the least doc_id and their number go on
         cols = [np.concatenate([np.frombuffer(x, dtype=np.int64, offset=8 + k * 8 * (n := int(np.frombuffer(x, dtype=_U, count=1)[0])), count=n) for x in blobs]) for k in range(3)]
-        ids, sigs, sizes = cols[0], cols[1].view(_U), cols[2].view(_U)
-        order, cuts = _by_part(sigs, parts)
+        ids, sigs, sizes = cols[0], cols[1].view(_U), cols[2]
+        order = np.lexsort((ids, sigs))
+        ids, sigs, sizes = ids[order], sigs[order], sizes[order]
+        new = np.ones(len(ids), dtype=bool)
+        new[1:] = (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])
+        ids, sigs, sizes = ids[new], sigs[new], sizes[new]
+        out.append((table.column("bucket")[0].as_py(), 2, np.array([len(ids)], dtype=_U).tobytes() + ids.tobytes() + sigs.tobytes() + sizes.tobytes()))
+        top = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        count = np.diff(np.append(top, len(sigs)))
+        live = sizes[top] > 0
+        top, count = top[live], count[live]
+        order, cuts = _by_part(sigs[top], parts)
         for p in range(parts):
             if cuts[p] < cuts[p + 1]:
                 at = order[cuts[p] : cuts[p + 1]]
-                out.append((p, 1, np.array([len(at)], dtype=_U).tobytes() + ids[at].tobytes() + sigs[at].tobytes() + sizes[at].tobytes()))
+                out.append((p, 1, np.array([len(at)], dtype=_U).tobytes() + ids[top[at]].tobytes() + sigs[top[at]].tobytes() + sizes[top[at]].tobytes() + count[at].astype(np.int64).tobytes()))
     else:
         values, sets = [], []
         for raw in blobs:
@@ -154,20 +182,40 @@ def _shared(table: pa.Table, parts: int) -> pa.Table:
     return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int8()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
 
-_SETS = "sig long, size int, ids array<long>, grams array<long>, alone int, cut int"
+_SETS = "kind byte, sig long, size int, name long, n long, ids array<long>, grams array<long>, alone int, cut int"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64)))
+
+
+def _rows(kind: int, count: int, **given: pa.Array) -> pa.Table:
+    """Rows of the written table; what isn't given is null."""
+    types = {"kind": pa.int8(), "sig": pa.int64(), "size": pa.int32(), "name": pa.int64(), "n": pa.int64(), "ids": pa.list_(pa.int64()), "grams": pa.list_(pa.int64()), "alone": pa.int32(), "cut": pa.int32()}
+    given["kind"] = pa.array(np.full(count, kind, np.int8))
+    return pa.table([given[c].cast(t) if c in given else pa.nulls(count, t) for c, t in types.items()], names=list(types))
 
 
 def _sets(table: pa.Table, threshold: float) -> pa.Table:
-    """One part → a row for each set: its documents, its shared n-grams rare first, and how many of these are prefix."""
+    """One part → a row for each set: its smallest doc_id and their number, its shared n-grams rare first, and how many of
+    these are prefix; or, for a part of documents, their doc_ids by set.
+    """
     kinds, blobs = table.column("kind").to_pylist(), [x.as_py() for x in table.column("blob")]
-    member, owner, sizes = [np.empty(0, np.int64)], [np.empty(0, _U)], [np.empty(0, _U)]
+    if kinds[0] == 2:
+        raw = blobs[0]
+        n = int(np.frombuffer(raw, dtype=_U, count=1)[0])
+        ids, sigs, sizes = (np.frombuffer(raw, dtype=np.int64, count=n, offset=8 + 8 * k * n) for k in range(3))
+        new = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        parts = np.split(ids, new[1:])
+        return _rows(1, len(new), sig=pa.array(sigs[new], mask=sizes[new] == 0), size=pa.array(sizes[new]), ids=_lists(parts))
+    name, owner, sizes, count = [np.empty(0, np.int64)], [np.empty(0, _U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     sig, val, freq = [np.empty(0, _U)], [np.empty(0, _U)], [np.empty(0, np.int64)]
     for kind, raw in zip(kinds, blobs, strict=True):
         n = int(np.frombuffer(raw, dtype=_U, count=1)[0])
         if kind == 1:
-            member.append(np.frombuffer(raw, dtype=np.int64, count=n, offset=8))
-            owner.append(np.frombuffer(raw, dtype=_U, count=n, offset=8 + 8 * n))
-            sizes.append(np.frombuffer(raw, dtype=_U, count=n, offset=8 + 16 * n))
+            for k, (to, t) in enumerate(((name, np.int64), (owner, _U), (sizes, np.int64), (count, np.int64))):
+                to.append(np.frombuffer(raw, dtype=t, count=n, offset=8 + 8 * k * n))
         else:
             uniq = np.frombuffer(raw, dtype=_U, count=n, offset=8)
             counts, at = B.unpack_small(raw, 8 + 8 * n)
@@ -175,28 +223,24 @@ def _sets(table: pa.Table, threshold: float) -> pa.Table:
             sig.append(np.repeat(uniq, counts))
             freq.append(df.astype(np.int64))
             val.append(np.frombuffer(raw, dtype=_U, offset=at))
-    member, owner, sizes = np.concatenate(member), np.concatenate(owner), np.concatenate(sizes).astype(np.int64)
+    name, owner, sizes, count = (np.concatenate(x) for x in (name, owner, sizes, count))
     sig, val, freq = np.concatenate(sig), np.concatenate(val), np.concatenate(freq)
     order = np.lexsort((val, freq, sig))
     sig, val = sig[order], val[order].view(np.int64)
-    order = np.lexsort((member, owner))
-    member, owner, sizes = member[order], owner[order], sizes[order]
+    order = np.lexsort((name, owner))
+    name, owner, sizes, count = name[order], owner[order], sizes[order], count[order]
     names, at = np.unique(owner, return_index=True)
-    ends = np.append(at[1:], len(owner))
+    if not len(names):
+        return _rows(0, 0)
+    docs, size = np.add.reduceat(count, at), sizes[at]
     lo, hi = np.searchsorted(sig, names), np.searchsorted(sig, names, side="right")
-    size = sizes[at] if len(at) else np.empty(0, np.int64)
     prefix = size - _least(threshold, size) + 1
     alone = size - (hi - lo)
     cut = np.clip(prefix - alone, 0, hi - lo)
-    keep = np.flatnonzero((cut > 0) | (ends - at > 1))
-    ids = [np.unique(member[at[i] : ends[i]]) for i in keep]
-    grams = [val[lo[i] : hi[i]] if cut[i] else val[:0] for i in keep]
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int64)))
-
-    return pa.table({"sig": names[keep].view(np.int64), "size": size[keep].astype(np.int32), "ids": lists(ids), "grams": lists(grams), "alone": alone[keep].astype(np.int32), "cut": cut[keep].astype(np.int32)})
+    keep = np.flatnonzero((cut > 0) | (docs > 1))
+    grams = _lists([val[lo[i] : hi[i]] if cut[i] else val[:0] for i in keep])
+    given = {"sig": names[keep].view(np.int64), "size": size[keep], "name": name[at][keep], "n": docs[keep], "alone": alone[keep], "cut": cut[keep]}
+    return _rows(0, len(keep), grams=grams, **{c: pa.array(x) for c, x in given.items()})
 
 
 def _least(threshold: float, size: np.ndarray) -> np.ndarray:
@@ -204,14 +248,25 @@ def _least(threshold: float, size: np.ndarray) -> np.ndarray:
     return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
 
-def document_sets(docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The sets that have a shared n-gram in their prefix, or several documents; written to the shared folder."""
-    spark = prepare(docs.sparkSession)
-    parts = 2 * shuffle_partitions(spark)
+def _parts(docs: DataFrame) -> int:
+    """Buckets of the exchanges: from the size that the optimiser knows of the table, or else the session's partitions."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * shuffle_partitions(docs.sparkSession), known // _BUCKET_BYTES if known < 1 << 56 else 0)
+
+
+def document_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(sets, members), written to the shared folder.
+
+    sets: (sig, size, name, n, grams, alone, cut) of those that have a shared n-gram in their prefix, or several documents;
+    members: (sig, id) of every document, with a null sig for those without n-grams.
+    """
+    prepare(docs.sparkSession)
+    parts = _parts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     blobs = rows.mapInArrow(partial(_scatter, n=n, buckets=parts), "bucket int, blob binary")
     shared = blobs.groupBy("bucket").applyInArrow(grouped(_shared, parts=parts), "part int, kind byte, blob binary")
-    return written(shared.groupBy("part").applyInArrow(grouped(_sets, threshold=threshold), _SETS))
+    found = written(shared.groupBy("part").applyInArrow(grouped(_sets, threshold=threshold), _SETS))
+    return found.where("kind = 0").drop("kind", "ids"), found.where("kind = 1").select("sig", F.explode("ids").alias("id"))
 
 
 def _verify(pairs: pa.Table, lists: pa.Table, threshold: float) -> pa.Table:
@@ -236,16 +291,15 @@ def _verify(pairs: pa.Table, lists: pa.Table, threshold: float) -> pa.Table:
             common[at : at + len(partners)] = np.diff(total[np.concatenate([[0], np.cumsum(count[partners])])])
         mark[mine] = False
     ok = common >= threshold * (size[a] + size[b] - common) - 1e-9
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    return pa.table([pa.array(x[ok], t) for x, t in zip((sig[a], sig[b], size[a], size[b], common), kinds, strict=True)], names=["sig_a", "sig_b", "size_a", "size_b", "common"])
+    return pa.table({"sig_a": pa.array(sig[a][ok], pa.int64()), "sig_b": pa.array(sig[b][ok], pa.int64())})
 
 
 def _seeded(k: int) -> Callable[[Column], Column]:
-    return lambda g: F.hash(g, F.lit(k))
+    return lambda g: F.xxhash64(g, F.lit(k))
 
 
 def _set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(sig_a, sig_b, size_a, size_b, common) of verified pairs of distinct sets."""
+    """(sig_a, sig_b) of verified pairs of distinct sets."""
     live = sets.where("cut > 0")
     keyed = live.select("sig", "size", F.slice("grams", 1, F.col("cut")).alias("prefix"), "alone", "cut", F.size("grams").alias("n_shared"))
     keyed = keyed.withColumn("gid", F.xxhash64("prefix", "size"))
@@ -274,77 +328,35 @@ def _set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     several = members.groupBy("gid").count().where("count > 1").select("gid")
     inside = members.join(several, "gid")
     within = inside.select("gid", F.col("sig").alias("sig_a")).join(inside.select("gid", F.col("sig").alias("sig_b")), "gid").where("sig_a < sig_b").select("sig_a", "sig_b")
-    candidates = written(across.unionByName(within))
-    # lists are sent once for each block of candidates that hang together, not once for each pair
-    ends = candidates.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")).union(candidates.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")))
-    least = ends.groupBy("sig").agg(F.least(F.min("other"), F.first("sig")).alias("least"))
-    bucket = F.pmod(F.xxhash64("least"), F.lit(4 * shuffle_partitions(sets.sparkSession))).cast("int").alias("bucket")
-    placed = candidates.join(least.select(F.col("sig").alias("sig_a"), bucket), "sig_a").select("bucket", "sig_a", "sig_b")
-    needed = placed.select(F.col("bucket").alias("place"), F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    lists = needed.join(live.select("sig", "size", "grams"), "sig").select("place", "sig", "size", "grams")
-    return placed.groupBy("bucket").cogroup(lists.groupBy("place")).applyInArrow(cogrouped(_verify, threshold=threshold), "sig_a long, sig_b long, size_a int, size_b int, common int")
+    return verified(across.unionByName(within), live.select("sig", "size", "grams"), _verify, threshold=threshold)
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.4) -> DataFrame:
-    """(doc_a, doc_b, jaccard), factorised as the module says; doc_a < doc_b."""
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("threshold must be in (0, 1] and n at least 1")
-    sets = document_sets(docs, n, threshold)
-    names = sets.select("sig", F.col("ids")[0].alias("doc"))
-    copies = sets.where(F.size("ids") > 1).select(F.col("ids")[0].alias("doc_a"), F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    pairs = _set_pairs(sets, threshold)
-    near = (
-        pairs.join(names.select(F.col("sig").alias("sig_a"), F.col("doc").alias("a")), "sig_a")
-        .join(names.select(F.col("sig").alias("sig_b"), F.col("doc").alias("b")), "sig_b")
-        .where("a <> b")
-        .select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
-    )
-    return copies.unionByName(near)
+    """(doc_id, class_id, copies, links) of every document, as the module says."""
+    return _joined(docs, n, threshold).withColumnRenamed("id", "doc_id")
 
 
-def expand_pairs(pairs: DataFrame) -> DataFrame:
-    """All qualifying pairs of documents from the factorised result; quadratic in groups of copies."""
-    equal = pairs.where("jaccard = 1.0")
-    names = pairs.select(F.col("doc_a").alias("doc")).union(pairs.where("jaccard < 1.0").select("doc_b")).distinct()
-    names = names.join(equal.select(F.col("doc_b").alias("doc")), "doc", "left_anti")
-    members = names.select(F.col("doc").alias("name"), "doc").union(equal.select(F.col("doc_a").alias("name"), F.col("doc_b").alias("doc")))
-    ma, mb = members.select(F.col("name").alias("na"), F.col("doc").alias("x")), members.select(F.col("name").alias("nb"), F.col("doc").alias("y"))
-    links = pairs.where("jaccard < 1.0").select(F.col("doc_a").alias("na"), F.col("doc_b").alias("nb"), "jaccard")
-    own = members.select(F.col("name").alias("na"), F.col("name").alias("nb"), F.lit(1.0).alias("jaccard")).distinct()
-    every = links.union(own).join(ma, "na").join(mb, "nb").where((F.col("na") != F.col("nb")) | (F.col("x") < F.col("y")))
-    return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-
+def _joined(docs: DataFrame, n: int, threshold: float, count_links: bool = True) -> DataFrame:
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("threshold must be in (0, 1] and n at least 1")
+    sets, members = document_sets(docs, n, threshold)
+    return classes(members, sets.select("sig", "name", "n"), _set_pairs(sets, threshold), count_links)
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(doc_id, group): the smallest doc_id that the pairs lead to, for every document in a pair.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder.
-    Raises if the pairs don't settle within ``rounds``, which a chain of 2**rounds would need.
-    """
-    edges = written(pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct())
-    last = None
-    for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small)
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError("the groups haven't settled; raise rounds")
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("group")).union(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("group")).distinct())
+def document_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.4) -> DataFrame:
+    """(doc_a, doc_b) of all documents that the join links, doc_a < doc_b; quadratic in groups of copies."""
+    sets, members = document_sets(docs, n, threshold)
+    pairs = _set_pairs(sets, threshold)
+    a, b = (members.select(F.col("sig").alias(f"sig_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    several = sets.where("n > 1").select(F.col("sig").alias("sig_a"), F.col("sig").alias("sig_b"))
+    linked = pairs.union(several).join(a, "sig_a").join(b, "sig_b").where("id_a < id_b or (sig_a <> sig_b and id_a > id_b)")
+    return linked.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b")).distinct()
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.4) -> DataFrame:
-    """The documents without those whose group of near copies has a smaller doc_id; rows without doc_id stay.
+    """The documents without those whose class of near copies has a smaller doc_id; rows without doc_id stay.
 
     All rows of a kept doc_id stay.
     """
-    groups = components(ngram_jaccard_join(docs, n, threshold))
-    dropped = groups.where("doc_id <> group").select(F.col("doc_id").alias("__wl_doc"))
+    dropped = _joined(docs, n, threshold, count_links=False).where("id <> class_id").select(F.col("id").alias("__wl_doc")).distinct()
     return docs.join(dropped, docs["doc_id"] == dropped["__wl_doc"], "left_anti")

@@ -89,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
-        WITH w AS (
+        WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL
         ), g AS (
             SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS gram
@@ -99,16 +99,19 @@ ORACLE: dict[str, str] = {
         ), c AS (
             SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
         ), p AS (
-            SELECT x, y, common / (sx.size + sy.size - common) AS jaccard
+            SELECT x, y, common = sx.size AND common = sy.size AS same
             FROM c JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y
             WHERE common >= 0.4 * (sx.size + sy.size - common) - 1e-9
-        ), copies AS (
-            SELECT y AS doc_id, min(x) AS name FROM p WHERE jaccard = 1 GROUP BY 1
+        ), e AS (
+            SELECT x AS doc_id, y AS other, same FROM p UNION ALL SELECT y, x, same FROM p
+        ), r(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.other FROM r JOIN e ON r.other = e.doc_id
+        ), k AS (
+            SELECT doc_id, min(other) AS class_id FROM r GROUP BY 1
+        ), n AS (
+            SELECT doc_id, count(*) AS links, count(*) FILTER (same) AS copies FROM e GROUP BY 1
         )
-        SELECT name AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM copies
-        UNION ALL
-        SELECT x, y, jaccard FROM p
-        WHERE jaccard < 1 AND x NOT IN (SELECT doc_id FROM copies) AND y NOT IN (SELECT doc_id FROM copies)
+        SELECT doc_id, class_id, 1 + coalesce(copies, 0) AS copies, coalesce(links, 0) AS links FROM k LEFT JOIN n USING (doc_id)
     """,
     "op2_line_dedup": r"""
         WITH l AS (
