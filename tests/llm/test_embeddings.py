@@ -3,26 +3,37 @@ import math
 import numpy as np
 import pytest
 
-from webloom.llm.embeddings import collision, embedding_near_dup, plan
+from webloom.llm.embeddings import collision, embedding_near_dup, plan, vector_pairs
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cosine double"
 
 
 def brute(rows, threshold):
+    """(rows, pairs): (vec_id, class_id, copies, links) of each vector, and the pairs of different vectors by their smallest vec_ids."""
     ok = [(i, np.array(v, dtype=np.float32).astype(float)) for i, v in rows if i is not None and v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.linalg.norm(v) > 0]
-    sets = {}
-    for i, v in ok:
-        sets.setdefault(tuple(np.round(v / np.linalg.norm(v), 9)), []).append(i)
-    out, names = set(), []
-    for k, ids in sets.items():
-        ids = sorted(set(ids))
-        out |= {(ids[0], x, 1.0) for x in ids[1:]}
-        names.append((ids[0], np.array(k)))
-    for n, (i, a) in enumerate(names):
-        for j, b in names[n + 1 :]:
-            if len(a) == len(b) and i != j and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= threshold:
-                out.add((min(i, j), max(i, j), round(float(a @ b), 6)))
-    return out
+    entries = sorted({(i, tuple(np.round(v / np.linalg.norm(v), 9))) for i, v in ok})
+    names = {}
+    for i, v in entries:
+        names.setdefault(v, i)
+    near = lambda a, b: len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= threshold
+    group, linked = list(range(len(entries))), [[a == b or near(a, b) for _, b in entries] for _, a in entries]
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for k, (i, _) in enumerate(entries):
+        for m, (j, _) in enumerate(entries):
+            if (linked[k][m] or i == j) and find(k) != find(m):
+                x, y = sorted((find(k), find(m)))
+                group[y] = x
+    pairs = {(min(names[a], names[b]), max(names[a], names[b])) for k, (_, a) in enumerate(entries) for m, (_, b) in enumerate(entries) if linked[k][m] and names[a] != names[b]}
+    return sorted((i, entries[find(k)][0], sum(a == b for _, b in entries), sum(linked[k]) - 1) for k, (i, a) in enumerate(entries)), pairs
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 0, 0.0) for r in rows], SCHEMA)
 
 
 def test_recall_against_brute_force(spark):
@@ -32,17 +43,29 @@ def test_recall_against_brute_force(spark):
         for _ in range(6):
             rows.append((len(rows), (base + rng.uniform(0.05, 0.5) * rng.standard_normal(32)).tolist()))
     rows += [(len(rows) + k, [2 * x for x in rows[0][1]]) for k in range(5)]
-    got = {(r.vec_a, r.vec_b, r.cosine) for r in embedding_near_dup(spark.createDataFrame([(*r, 0, 0.0) for r in rows], SCHEMA), threshold=0.9).collect()}
-    want = brute(rows, 0.9)
-    pairs = {w[:2] for w in want}
-    assert {g[:2] for g in got} <= pairs and len(want) > 300
-    assert len({g[:2] for g in got}) >= 0.97 * len(pairs)
+    want, pairs = brute(rows, 0.9)
+    found = [tuple(r) for r in vector_pairs(frame(spark, rows), threshold=0.9).collect()]
+    assert len(found) == len(set(found)) and set(found) <= pairs and len(pairs) > 300
+    assert len(found) >= 0.97 * len(pairs)
+    got = sorted(map(tuple, embedding_near_dup(frame(spark, rows), threshold=0.9).collect()))
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[3] <= w[3] for g, w in zip(got, want))
+    assert sum(g[3] for g in got) >= 0.97 * sum(w[3] for w in want)
+
+
+def test_near_vectors_are_found_exactly(spark):
+    """Far beyond the threshold the tables miss nothing, so rows equal brute force; classes of any size are cut into blocks."""
+    rng, rows = np.random.default_rng(5), []
+    for size in (700, 3, 2, 1, 1):
+        base = rng.standard_normal(24)
+        rows += [(len(rows) + k, (base + 0.02 * rng.standard_normal(24)).tolist()) for k in range(size)]
+    rows += [(3, rows[703][1]), (900, rows[0][1]), (900, rows[0][1])]
+    assert sorted(map(tuple, embedding_near_dup(frame(spark, rows), threshold=0.9).collect())) == brute(rows, 0.9)[0]
 
 
 def test_awkward_rows(spark):
-    rows = [(1, [1.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, []), (5, None), (6, [math.nan, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [math.inf, 1.0]), (10, [1.0, 0.001])]
-    got = {(r.vec_a, r.vec_b, r.cosine) for r in embedding_near_dup(spark.createDataFrame([(*r, 0, 0.0) for r in rows], SCHEMA), threshold=0.9).collect()}
-    assert got == {(1, 2, 1.0), (1, 10, 1.0)}
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, []), (5, None), (6, [math.nan, 1.0]), (7, [None, 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [math.inf, 1.0]), (10, [1.0, 0.001]), (11, [-0.0, -1.0]), (12, [0.0, -2.0])]
+    got = sorted(map(tuple, embedding_near_dup(frame(spark, rows), threshold=0.9).collect()))
+    assert got == [(1, 1, 2, 2), (2, 1, 2, 2), (8, 8, 1, 0), (10, 1, 1, 2), (11, 11, 2, 1), (12, 11, 2, 1)] == brute(rows, 0.9)[0]
 
 
 def test_empty_table(spark):

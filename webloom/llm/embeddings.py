@@ -6,32 +6,35 @@ key, and L tables of keys make up for misses.  Two vectors at distance c agree o
 
     p(c) = 1 - 2 Phi(-w/c) - 2c / (sqrt(2 pi) w) (1 - exp(-w^2 / 2c^2)),
 
-so m = ln(n) / ln(1 / p(far)) leaves about one chance partner per vector and table at any n, and
+so m = ln(n) / ln(1 / p(far)), rounded down, leaves one to three chance partners per vector and table at any n, and
 L = ln(1 - recall) / ln(1 - p(near)^m) finds a pair at the threshold with probability ``recall``
 (closer pairs more surely).  Candidates share a bucket; each pair is then checked by its exact cosine.
 
-Equal vectors are collapsed first: the result is factorised like that of the n-gram join, with
-one row of cosine 1.0 from the smallest vec_id to each other with an equal (scaled) vector, and a
-row for each pair of distinct vectors, named by their smallest vec_id, whose cosine is at least
-the threshold.
+Equal (scaled) vectors are collapsed first, and the result has one row for each vector: (vec_id, class_id, copies,
+links).  ``links`` is the number of other vec_ids within the threshold, each checked; ``copies`` the number of vec_ids
+with an equal vector, itself included; ``class_id`` the smallest vec_id that links lead to.  ``vector_pairs`` lists the
+pairs of different vectors.
 
 Nulls, ties and odd rows: rows without vec_id, with a null or empty embedding, with a null, NaN or
-infinite element or of length zero are left out; vectors of different dimensions never pair; a
-vec_id with several vectors keeps them all, and no pair of a vec_id with itself is reported.  Extra
-columns are ignored.  An empty table gives no rows.
+infinite element or of length zero are left out; vectors of different dimensions never pair; a vec_id that repeats with
+equal vectors is one, with different vectors it has a row for each, which share a class.  vec_id has to be a whole number.
+Extra columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm import _text as X
+from webloom.llm._links import classes, verified
 from webloom.session import prepare, written
 
 _FAR = math.sqrt(2)
@@ -48,13 +51,35 @@ def collision(c: float, width: float) -> float:
 def plan(n: int, threshold: float, recall: float, width: float) -> tuple[int, int]:
     """(hashes a key, tables) for n vectors."""
     near, far = collision(math.sqrt(2 - 2 * threshold), width), collision(_FAR, width)
-    m = max(1, math.ceil(math.log(max(n, 2)) / -math.log(far)))
+    m = max(1, math.floor(math.log(max(n, 2)) / -math.log(far)))
     hit = near**m
     return m, 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    return np.asarray(col.flatten()).astype(np.float64).reshape(len(col), -1)
+    """Rows of length 1 from lists of one size."""
+    x = np.asarray(col.flatten()).astype(np.float64).reshape(len(col), -1)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """vec_id, v → (sig, id, v) of the usable rows; sig is a hash of the scaled vector, rounded to 9 digits."""
+    for b in batches:
+        b = b.filter(pc.and_(pc.is_valid(b.column("vec_id")), pc.greater(pc.fill_null(pc.list_value_length(b.column("v")), 0), 0)))
+        sizes = np.asarray(b.column("v").value_lengths())
+        sigs, ok = np.zeros(len(b), np.uint64), np.zeros(len(b), bool)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            x = b.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+            with np.errstate(all="ignore"):
+                length = np.sqrt(np.einsum("ij,ij->i", x, x))
+                good = np.isfinite(x).all(axis=1) & np.isfinite(length) & (length > 0)
+                cells = np.rint(x[good] / length[good, None] * 1e9).astype(np.int64).view(np.uint64)
+            place = np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            sigs[at[good]] = X.mix(X.mix(cells ^ place).sum(axis=1, dtype=np.uint64) + np.uint64(dim))
+            ok[at[good]] = True
+        keep = pa.array(np.flatnonzero(ok))
+        yield pa.RecordBatch.from_arrays([pa.array(sigs[ok].view(np.int64)), b.column("vec_id").take(keep), b.column("v").take(keep)], ["sig", "id", "v"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch], m: int, tables: int, width: float, seed: int) -> Iterator[pa.RecordBatch]:
@@ -79,39 +104,59 @@ def _keys(batches: Iterator[pa.RecordBatch], m: int, tables: int, width: float,
                 yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(sigs[part], tables))], ["key", "sig"])
 
 
-def _dot() -> Callable[[Column, Column], Column]:
-    @F.arrow_udf("double")
-    def dot(a: pa.Array, b: pa.Array) -> pa.Array:
-        if not len(a):
-            return pa.array([], pa.float64())
-        sizes, out = np.asarray(a.value_lengths()), np.zeros(len(a))
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            out[at] = np.einsum("ij,ij->i", _matrix(a.take(pa.array(at))), _matrix(b.take(pa.array(at))))
-        return pa.array(out)
-
-    return dot
+def _near(pairs: pa.Table, sets: pa.Table, threshold: float) -> pa.Table:
+    """The pairs of a block whose cosine is at least the threshold."""
+    sig, v = sets.column("sig").to_numpy(), sets.column("v").combine_chunks()
+    order = np.argsort(sig)
+    a, b = (order[np.searchsorted(sig[order], pairs.column(c).to_numpy())] if len(sig) else np.empty(0, np.int64) for c in ("sig_a", "sig_b"))
+    sizes, ok = np.asarray(v.value_lengths()), np.zeros(len(a), bool)
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        x, row = _matrix(v.take(pa.array(at))), np.full(len(sizes), -1, np.int64)
+        row[at] = np.arange(len(at))
+        mine = np.flatnonzero((row[a] >= 0) & (row[b] >= 0))
+        for part in np.array_split(mine, len(mine) * int(dim) // 2_000_000 + 1):
+            ok[part] = np.einsum("ij,ij->i", x[row[a[part]]], x[row[b[part]]]) >= threshold
+    ok = pa.array(ok)
+    return pairs.select(["sig_a", "sig_b"]).filter(ok)
+
+
+def _sets(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): (sig, id) of each usable vector, and (sig, v) of each different one."""
+    prepare(vectors.sparkSession)
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
+    base = written(rows.mapInArrow(_named, f"sig long, id long, v {kind}"))
+    return base.select("sig", "id").distinct(), written(base.groupBy("sig").agg(F.first("v").alias("v")))
 
 
-def embedding_near_dup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, width: float = 1.6, seed: int = 7) -> DataFrame:
-    """(vec_a, vec_b, cosine), factorised as the module says; vec_a < vec_b."""
-    if not 0 < threshold <= 1 or not 0 < recall < 1 or width <= 0:
-        raise ValueError("threshold must be in (0, 1], recall in (0, 1) and width positive")
-    prepare(vectors.sparkSession)
-    v = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = rows.withColumn("len", norm).where("len > 0").select("vec_id", F.transform("v", lambda x: x / F.col("len")).alias("v"))
-    named = unit.withColumn("sig", F.xxhash64(F.transform("v", lambda x: F.round(x, 9))))
-    sets = written(named.groupBy("sig").agg(F.min("vec_id").alias("name"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v")))
-    copies = sets.where(F.size("ids") > 1).select(F.col("name").alias("vec_a"), F.explode(F.slice("ids", 2, F.size("ids") - 1)).alias("vec_b"), F.lit(1.0).alias("cosine"))
-    if threshold == 1:
-        return copies
+def _links(sets: DataFrame, threshold: float, recall: float, width: float, seed: int) -> DataFrame:
+    if threshold == 1:  # only equal vectors
+        return sets.sparkSession.createDataFrame([], "sig_a long, sig_b long")
     m, tables = plan(sets.count(), threshold, recall, width)
-    keys = sets.select("sig", "v").mapInArrow(partial(_keys, m=m, tables=tables, width=width, seed=seed), "key long, sig long")
+    keys = sets.mapInArrow(partial(_keys, m=m, tables=tables, width=width, seed=seed), "key long, sig long")
     a, b = keys.withColumnRenamed("sig", "sig_a"), keys.withColumnRenamed("sig", "sig_b")
     pairs = a.join(b, "key").where("sig_a < sig_b").select("sig_a", "sig_b").distinct()
-    va, vb = (sets.select(F.col("sig").alias(f"sig_{x}"), F.col("name").alias(f"name_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
-    checked = pairs.join(va, "sig_a").join(vb, "sig_b").where("size(v_a) = size(v_b) and name_a <> name_b").withColumn("cosine", _dot()(F.col("v_a"), F.col("v_b")))
-    near = checked.where(F.col("cosine") >= threshold).select(F.least("name_a", "name_b").alias("vec_a"), F.greatest("name_a", "name_b").alias("vec_b"), F.round(F.least("cosine", F.lit(1.0)), 6).alias("cosine"))
-    return copies.unionByName(near)
+    return verified(pairs, sets, _near, threshold=threshold)
+
+
+def _check(threshold: float, recall: float, width: float) -> None:
+    if not 0 < threshold <= 1 or not 0 < recall < 1 or width <= 0:
+        raise ValueError("threshold must be in (0, 1], recall in (0, 1) and width positive")
+
+
+def embedding_near_dup(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, width: float = 1.6, seed: int = 7) -> DataFrame:
+    """(vec_id, class_id, copies, links) of every usable vector."""
+    _check(threshold, recall, width)
+    members, sets = _sets(vectors)
+    info = members.groupBy("sig").agg(F.min("id").alias("name"), F.count("*").alias("n"))
+    return classes(members, info, _links(sets, threshold, recall, width, seed)).withColumnRenamed("id", "vec_id")
+
+
+def vector_pairs(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, width: float = 1.6, seed: int = 7) -> DataFrame:
+    """(vec_a, vec_b) for each linked pair of different vectors, named by their smallest vec_ids; vec_a < vec_b."""
+    _check(threshold, recall, width)
+    members, sets = _sets(vectors)
+    a, b = (members.groupBy(F.col("sig").alias(f"sig_{x}")).agg(F.min("id").alias(f"name_{x}")) for x in "ab")
+    linked = _links(sets, threshold, recall, width, seed).join(a, "sig_a").join(b, "sig_b").where("name_a <> name_b")
+    return linked.select(F.least("name_a", "name_b").alias("vec_a"), F.greatest("name_a", "name_b").alias("vec_b"))

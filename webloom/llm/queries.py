@@ -152,15 +152,20 @@ ORACLE: dict[str, str] = {
         FROM r
     """,
     "op6_embedding_near_dup": r"""
-        WITH v AS (
+        WITH RECURSIVE v AS (
             SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS e FROM embeddings
         ), s AS (
             SELECT min(vec_id) AS name, list(vec_id ORDER BY vec_id) AS ids, any_value(e) AS e FROM v GROUP BY list_transform(e, lambda x: round(x, 9))
         ), p AS (
-            SELECT a.name AS vec_a, b.name AS vec_b, list_inner_product(a.e, b.e) AS c FROM s a JOIN s b ON a.name < b.name
+            SELECT a.name AS x, b.name AS y, len(b.ids) AS n FROM s a JOIN s b ON a.name <> b.name WHERE list_inner_product(a.e, b.e) >= 0.9
+        ), r(name, other) AS (
+            SELECT name, name FROM s UNION SELECT r.name, p.y FROM r JOIN p ON r.other = p.x
+        ), k AS (
+            SELECT name, min(other) AS class_id FROM r GROUP BY 1
+        ), n AS (
+            SELECT x AS name, sum(n)::BIGINT AS near FROM p GROUP BY 1
         )
-        SELECT vec_a, vec_b, round(least(c, 1.0), 6) AS cosine FROM p WHERE c >= 0.9
-        UNION ALL SELECT name, unnest(ids[2:]), 1.0 FROM s WHERE len(ids) > 1
+        SELECT unnest(ids) AS vec_id, class_id, len(ids) AS copies, len(ids) - 1 + coalesce(near, 0) AS links FROM s JOIN k USING (name) LEFT JOIN n USING (name)
     """,
     "op7_sharding": r"""
         WITH d AS (
