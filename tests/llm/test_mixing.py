@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 from tests.llm.data import DOCS, VOCABULARY, awkward, rows, words
-from webloom.llm.mixing import DOMAINS, classifier, fit, features, mixed, mixing_rates, repeated
+from webloom.llm._tokens import encoding
+from webloom.llm.mixing import DOMAINS, classifier, features, fit, mixed, mixing_rates, repeated, solve
 
 LABELS = "doc_id long, quality int, toxic int"
 TARGETS = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
@@ -49,6 +50,49 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert loss(r) <= loss(best) + 1e-4
 
 
+def kkt(tokens, mass, goal, rate):
+    """The largest violation of the optimality conditions: no gradient where a rate is above 0, none downwards at 0."""
+    p = mass / tokens[:, None]
+    grad = p @ ((mass.T @ rate) / tokens.sum() - goal)
+    return np.maximum(np.abs(grad) * (rate > 0), np.maximum(0, -grad)).max()
+
+
+def test_solve_reaches_the_optimum_at_any_target():
+    rng = np.random.default_rng(2)
+    for goal in ([0.96 * 1.25, 0.02 * 1.25, 0.02 * 1.25], [1.0, 0, 0], [0.1, 0.8, 0.1], [0.0, 0.0, 3.0]):
+        p = rng.dirichlet([0.3, 0.05, 0.01], 3000)
+        cell = (np.floor(p[:, 2] * 256) * 257 + np.floor(p[:, 1] * 256)).astype(int)
+        tokens = rng.integers(1, 5000, len(p)).astype(float)
+        names, at = np.unique(cell, return_inverse=True)
+        mass = np.stack([np.bincount(at, tokens * p[:, k]) for k in range(3)], axis=1)
+        rate = solve(names, mass.sum(axis=1), mass, np.array(goal))
+        assert rate.min() >= 0 and kkt(mass.sum(axis=1), mass, np.array(goal), rate) < 1e-6
+        if goal[0] > 0.05 and min(goal) > 0:
+            assert np.abs(mass.T @ rate / tokens.sum() - goal).max() < 1e-6
+
+
+def test_rates_follow_from_the_posteriors_alone(spark):
+    """Rates, tokens and copies against a plain version that gets the same posteriors."""
+    docs, labels = corpus(300)
+    got = mixing_rates(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), TARGETS, VOCABULARY, budget=1.2).collect()
+    encode = encoding(VOCABULARY).encode_ordinary
+    texts, cells = {d[0]: d[1] for d in docs}, {}
+    for r in got:
+        assert r.tokens == len(encode(texts[r.doc_id]))
+        cells.setdefault(int(r.p_toxic * 256) * 257 + int(r.p_low * 256), []).append(r)
+    names = sorted(cells)
+    mass = np.array([[sum(round(r.tokens * r[f"p_{d}"] * 65536) for r in cells[c]) / 65536 for d in DOMAINS] for c in names])
+    want = dict(zip(names, solve(np.array(names), mass.sum(axis=1), mass, 1.2 * np.array([TARGETS[d] for d in DOMAINS]))))
+    assert all(abs(r.rate - want[c]) < 1e-9 for c in names for r in cells[c])
+    assert abs(sum(r.copies for r in got) - sum(r.rate for r in got)) < 4 * np.sqrt(len(got)) / 2
+
+
+def test_clashing_names_in_any_case(spark):
+    df = spark.createDataFrame(corpus(20)[0], DOCS).withColumnsRenamed({"rate": "Rate", "shard": "Tokens"})
+    out = mixed(df, spark.createDataFrame(corpus(20)[1], LABELS), TARGETS, VOCABULARY)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "tokens", "p_clean", "p_low", "p_toxic", "rate", "copies"] and out.count() == 20
+
+
 def test_awkward_rows(spark):
     docs, labels = corpus(60)
     df = spark.createDataFrame(docs + [(1000 + (r[0] or 0) if r[0] else None, *r[1:]) for r in awkward()], DOCS)

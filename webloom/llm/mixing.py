@@ -9,27 +9,28 @@ rates r_i >= 0 are sought for which the totals meet the targets: least squares o
 
     sum_k (sum_i r_i t_i p_ik - target_k)^2
 
-by projected gradient with momentum, in the metric that weighs each document by its tokens.
-An iteration is one distributed pass over a small table (doc_id, tokens, posteriors): tasks
-replay all steps so far from the K-vectors of residuals, so rates are never stored between
-iterations, and return K sums.  ``budget`` is the sum of the targets in units of the corpus's
-tokens.  Where the targets can't be met with rates of 0 or more, the result is the nearest mix.
+by projected gradient with momentum, in the metric that weighs each document by its tokens.  Rates depend on a document's
+posteriors only, so documents whose posteriors fall into the same cell of a grid (steps of 1/256) share a rate: one
+distributed aggregation gives the tokens and expected domain tokens of every cell, exact integers that don't depend on the
+order of tasks, and the iteration runs over the cells, at most 33,153 at any size of the corpus, until
+the totals meet the targets or the projected gradient vanishes.  There is no limit of steps.
+``budget`` is the sum of the targets in units of the corpus's tokens.  Where the targets can't be met with rates of 0 or
+more, the result is the nearest mix.
 
 Rates turn into copies by a hash of doc_id: floor(r) or one more, with the right expectation, so
 a rerun repeats itself.
 
 Nulls, ties and odd rows: null and empty texts have no tokens; they get the posteriors of an
-empty text and the rate that follows; null doc_ids hash alike; repeated rows each
+empty text and the rate that follows; texts of any length are taken whole; null doc_ids hash alike; repeated rows each
 count and get the same rate; labels with nulls are ignored, and of several labels for a doc_id the
-worst counts.  Extra columns are passed on by ``mixed``, but those named like its own give way.
+worst counts.  Extra columns are passed on by ``mixed``, but those named like its own, in any case, give way.
 Without labels of two classes the posteriors are uniform over the domains.  An empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -172,54 +173,51 @@ def _scorer(raw: bytes, vocabulary: str) -> Callable[[Column], Column]:
 def posteriors(docs: DataFrame, weights: bytes, vocabulary: str) -> DataFrame:
     """docs and tokens, p_clean, p_low and p_toxic."""
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in _SCORED.names]
+    keep = [c for c in docs.columns if c.lower() not in _SCORED.names]
     base = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__wl_s", _scorer(weights, vocabulary)(F.col("text").cast("string")))
     return base.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__wl_s.{n}").alias(n) for n in _SCORED.names])
 
 
-def replay(p: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, look-ahead rates) after the given moves; a move is a K-vector added to the rates by membership."""
-    r = look = np.ones(len(p))
-    for i, move in enumerate(moves):
-        new = np.maximum(0.0, look + p @ move)
-        look = new + i / (i + 3) * (new - r)
-        r = new
-    return r, look
-
-
-def _totals(batches: Iterator[pa.RecordBatch], moves: np.ndarray) -> Iterator[pa.RecordBatch]:
-    k = len(DOMAINS)
-    sums = np.zeros(2 * k + k * k)
-    for b in batches:
-        p, t = np.stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS], axis=1), b.column("tokens").to_numpy().astype(np.float64)
-        r, look = replay(p, moves)
-        sums += np.concatenate([(t * r) @ p, (t * look) @ p, ((p * t[:, None]).T @ p).ravel()])
-    yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
-
-
-def solve(table: DataFrame, targets: dict[str, float], budget: float, steps: int = 60, tolerance: float = 1e-3) -> np.ndarray:
-    """The moves of the projected gradient, one row for each step, until totals are within ``tolerance`` of the targets."""
-    k = len(DOMAINS)
-    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
-    share = share / share.sum()
-    moves = np.zeros((0, k))
-    for _ in range(steps + 1):
-        rows = table.mapInArrow(partial(_totals, moves=moves), "sums array<double>").collect()
-        sums = np.sum(np.sort(np.array([r[0] for r in rows]), axis=0), axis=0) if rows else np.zeros(2 * k + k * k)
-        gram = sums[2 * k :].reshape(k, k)
-        total = gram.sum()  # posteriors add up to 1, so this is all tokens
-        if total == 0 or np.abs(sums[:k] / total - share * budget).max() <= tolerance * budget or len(moves) == steps:
+_GRID = 256
+_UNIT = 1 << 16
+
+
+def _cell() -> Column:
+    low, toxic = (F.floor(F.col(f"p_{d}") * _GRID) for d in DOMAINS[1:])
+    return (toxic * (_GRID + 1) + low).cast("int")
+
+
+def cells(scored: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell, tokens, expected tokens of each domain) of the cells in use; sums are integers in units of 1/65536 token."""
+    mass = [F.sum(F.round(F.col("tokens") * F.col(f"p_{d}") * _UNIT).cast("long")).alias(d) for d in DOMAINS]
+    got = scored.groupBy(_cell().alias("cell")).agg(*mass).orderBy("cell").toArrow()
+    w = np.stack([got.column(d).to_numpy().astype(np.float64) for d in DOMAINS], axis=1) / _UNIT
+    return got.column("cell").to_numpy(), w.sum(axis=1), w
+
+
+def solve(cell: np.ndarray, tokens: np.ndarray, mass: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The rate of each cell, for expected totals of ``goal`` in units of all tokens; FISTA with restarts, to stationarity."""
+    rate, total = np.ones(len(cell)), tokens.sum()
+    if not total:
+        return rate
+    middle = np.stack([cell % (_GRID + 1), cell // (_GRID + 1)], axis=1) / _GRID + 0.5 / _GRID
+    middle = np.column_stack([np.maximum(0, 1 - middle.sum(axis=1)), middle])  # for cells of empty texts only
+    p = np.where(tokens[:, None] > 0, mass / np.maximum(tokens, 1e-9)[:, None], middle)
+    top = np.linalg.eigvalsh((mass.T @ p) / total)[-1]
+    look, last, turn, best, stale = rate, np.inf, 1.0, np.inf, 0
+    while stale < 2000:  # beyond that, the loss no longer falls in floating point
+        new = np.maximum(0.0, look - p @ ((mass.T @ look) / total - goal) / top)
+        moved = np.sqrt((tokens * (new - look) ** 2).sum() / total)
+        gap = (mass.T @ new) / total - goal
+        loss = float(gap @ gap)
+        if loss > last:
+            turn = 1.0
+        after = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
+        look = new + (turn - 1) / after * (new - rate)
+        rate, last, turn = new, loss, after
+        if np.abs(gap).max() <= 1e-9 * goal.sum() or moved <= 1e-10:
             break
-        step = 1 / np.linalg.eigvalsh(gram / total)[-1]
-        moves = np.vstack([moves, step * (share * budget - sums[k : 2 * k] / total)])
-    return moves
-
-
-def _rater(moves: np.ndarray) -> Callable[..., Column]:
-    @F.arrow_udf("double")
-    def rate(*p: pa.Array) -> pa.Array:
-        return pa.array(replay(np.stack([np.asarray(x) for x in p], axis=1), moves)[0])
-
+        best, stale = (loss, 0) if loss < best * (1 - 1e-12) else (best, stale + 1)
     return rate
 
 
@@ -227,13 +225,15 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabul
     """docs with tokens, p_clean, p_low, p_toxic, rate and copies; ``repeated`` makes the copies."""
     if budget <= 0 or min(targets.values()) < 0 or sum(targets.get(d, 0) for d in DOMAINS) <= 0:
         raise ValueError("budget must be positive, targets not negative and their sum positive")
-    keep = [c for c in docs.columns if c not in ("rate", "copies") and (texts or c != "text")]
+    keep = [c for c in docs.columns if c.lower() not in ("rate", "copies") and (texts or c != "text")]
     scored = posteriors(docs, classifier(docs, labels, sample_rows), vocabulary)
-    table = written(scored.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *_SCORED.names])]))
-    small = table.select(*_SCORED.names)
-    rate = _rater(solve(small, targets, budget))(*[F.col(f"p_{d}") for d in DOMAINS])
+    table = written(scored.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(k for k in keep if k.lower() not in _SCORED.names), *_SCORED.names])]))
+    share = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    found = cells(table)
+    rates = docs.sparkSession.createDataFrame(list(zip(found[0].tolist(), solve(*found, share / share.sum() * budget).tolist(), strict=True)), "__wl_cell int, rate double")
+    rated = table.withColumn("__wl_cell", _cell()).join(F.broadcast(rates), "__wl_cell").drop("__wl_cell")
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return table.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    return rated.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000) -> DataFrame:
@@ -244,4 +244,4 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 def repeated(rows: DataFrame) -> DataFrame:
     """Each row as often as its copies say; the columns that ``mixed`` added go."""
     added = (*_SCORED.names, "rate", "copies")
-    return rows.where("copies > 0").withColumn("__wl_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in rows.columns if c not in added])
+    return rows.where("copies > 0").withColumn("__wl_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in rows.columns if c not in added])
