@@ -79,3 +79,29 @@ def test_suffix_array_to_a_depth():
 
 def test_visible():
     assert visible("<script>a<b</script>x<!-- y -->z<style>q</style>&lt;1 < 2<br/>") .split() == ["x", "z", "<1", "<", "2"]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [('<p title="a > b">x</p>', "x"), ("<a href='1>2' b = \"3>4\" c>y</a>z", "y z"), ("<title>t</title>1<TEXTAREA>2</textarea>", "1 2"), ("a <b class=x it's>c</b> 3 < 4 > 2", "a c 3 < 4 > 2"),
+     ('q <img alt="never closed> r', "q"), ("<!-- > -->k<!doctype html \"x>y\">", 'k y">'), ("<p a=>m</p>", "m"), ("&lt;p&gt; &amp;", "<p> &")],
+)
+def test_tags_with_quotes(page, want):
+    assert visible(page).split() == want.split()
+
+
+def test_hostile_tags_take_linear_time():
+    import time
+
+    t = time.time()
+    visible("<a b='" * 200_000)
+    visible("<a =" * 200_000)
+    visible("<" * 400_000)
+    visible("<a " * 200_000)
+    assert time.time() - t < 5
+
+
+def test_very_long_pages(spark):
+    text = words(60_000, 3)
+    got = {r.page_id: r for r in check(spark, [(1, "http://a/", text), (2, "http://a/", words(30, 8) + " " + text), (3, "http://a/", "<p " + "x" * 300_000)], 16)}
+    assert got[1].text == "" and got[2].removed == 60_000 and got[3].tokens == 0

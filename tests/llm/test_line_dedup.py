@@ -41,6 +41,23 @@ def test_matches_brute_force(spark):
         assert got.columns == [*DOCS.replace(",", "").split()[::2], "lines_removed"]
 
 
+def test_clashing_names_and_very_long_texts(spark):
+    many = "\n".join(f"line {i % 5000}" for i in range(40_000))
+    docs = rows([(1, many), (2, "line 7\nown"), (3, "x" * 2_000_000)])
+    df = spark.createDataFrame(docs, DOCS).withColumnsRenamed({"rate": "Lines_Removed", "shard": "lines removed"})
+    got = line_dedup(df, 6)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "lines removed", "lines_removed"]
+    assert sorted((r.doc_id, r.text, r["lines_removed"]) for r in got.collect()) == brute(docs, 6)
+
+
+def test_answers_depend_on_neither_chunks_nor_shards(spark):
+    docs = rows((i, f"head {i % 9}\nown {i}\nfooter\n" + "twice\n" * (i % 4)) for i in range(200))
+    df = spark.createDataFrame(docs, DOCS)
+    for parts, keys in ((1, 10), (13, 10), (13, 10**6)):
+        got = line_dedup(df.repartition(parts), 6, keys_per_shard=keys).collect()
+        assert sorted(((r.doc_id, r.text, r.lines_removed) for r in got), key=repr) == brute(docs, 6)
+
+
 def test_empty_table(spark):
     assert line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -13,14 +13,14 @@ sampled and sliced, without changing the result:
 2. the token spans around anchors that two pages share are dealt to slices by anchor.  A slice
    concatenates its spans and sorts all suffixes by their first ``min_tokens`` tokens (prefix
    doubling); neighbours that agree on all of them and stem from distinct pages are repeats;
-3. the repeated windows go into a sharded perfect-hash index (see ``_index``), which every page
-   probes.  Neither texts nor pages are shuffled, and a hot host is spread over all slices.
+3. every chunk of the table gets the repeated windows of the spans that it sent, one small file for each chunk (see
+   ``_index``), and takes them out.  Neither texts nor pages are shuffled, and a hot host is spread over all slices.
 
-A task sends a span once for at most two pages, so boilerplate that all pages of a host share
-costs what the number of tasks costs, not the number of pages.
+A chunk sends a span once for at most two pages, so boilerplate that all pages of a host share
+costs what the number of chunks costs, not the number of pages.
 
 Tokens are runs of anything but ASCII white space, compared in lower case, outside tags, comments
-and the contents of script, style, template and noscript; character references are decoded.
+and the contents of script, style, template, noscript and title; character references are decoded.
 
 Nulls, ties and odd rows: a null or empty html gives an empty text; null and unparsable urls
 share one host; rows with the same page_id, or null ones, are one page, so what only they share
@@ -38,18 +38,23 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm import _text as X
 from webloom.llm._arrow import grouped
-from webloom.llm._index import Reader, build_index
+from webloom.llm._index import Answers, answers, chunked
 from webloom.session import prepare, shuffle_partitions, written
 
 _U = np.uint64
 _GRAM = 6
-_JUNK = re.compile(r"<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|</?[a-zA-Z!?][^>]*(?:>|\Z)", re.S | re.I)
+#: Contents that aren't shown, comments, and tags, whose quoted attribute values may hold a >.
+_JUNK = re.compile(
+    r"<(script|style|template|noscript|title)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)"
+    r"""|</?[a-zA-Z!?](?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)""",
+    re.S | re.I,
+)
 
 
 def visible(page: str) -> str:
@@ -113,43 +118,45 @@ def _parse(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _seen(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(h, n): the anchors of the pages, and in how many pages of a batch they stand."""
+    """(chunk, h, n): the anchors of the pages, and in how many pages of a batch they stand, up to 2."""
     for b in batches:
         tokens, first, host = _parse(b)
         start, _, h = anchors(tokens, first, host, least)
         if not len(h):
             continue
-        page = np.repeat(_page_ids(b), np.diff(first))[start]
-        order = np.lexsort((page, h))
-        h, page = h[order], page[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (page[1:] != page[:-1])])
-        names, n = np.unique(h[new], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["h", "n"])
+        page, chunk = np.repeat(_page_ids(b), np.diff(first))[start], np.asarray(b.column("__wl_chunk"))
+        for k in np.unique(chunk):
+            at = np.flatnonzero(np.repeat(chunk == k, np.diff(first))[start]) if chunk[0] != chunk[-1] else np.arange(len(h))
+            at = at[np.lexsort((page[at], h[at]))]
+            g, who = h[at], page[at]
+            new = np.concatenate([[True], (g[1:] != g[:-1]) | (who[1:] != who[:-1])]) if len(g) else np.empty(0, bool)
+            names, n = np.unique(g[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), k, np.int32)), pa.array(names.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["chunk", "h", "n"])
 
 
-_SPAN = "slice int, anchor long, page_id long, host long, tokens binary"
+_SPAN = "slice int, chunk int, page_id long, host long, tokens binary"
 
 
-def _spans(batches: Iterator[pa.RecordBatch], path: str, shards: int, slices: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The tokens of all windows around each shared anchor; the same span for at most two pages of a task."""
-    index, sent = Reader.at(path, shards), {}
+def _spans(batches: Iterator[pa.RecordBatch], path: str, slices: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of all windows around each shared anchor; the same span for at most two pages of a chunk."""
+    index, sent = Answers.at(path), {}
     for b in batches:
         tokens, first, host = _parse(b)
         start, at, h = anchors(tokens, first, host, least)
         if not len(h):
             continue
-        keys, back = np.unique(h, return_inverse=True)
-        hit = (index.probe(keys.view(np.int64))[0] > 1)[back]
-        start, at, h = start[hit], at[hit], h[hit]
+        chunk = np.asarray(b.column("__wl_chunk"))
+        row = np.searchsorted(first, start, side="right") - 1
+        hit = index.probe(h.view(np.int64), chunk[row])[0]
+        start, at, h, row = start[hit], at[hit], h[hit], row[hit]
         if not len(h):
             continue
-        row = np.searchsorted(first, start, side="right") - 1
         new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (np.diff(start) != 1)]))
         lo, hi = start[new], np.append(start[new[1:] - 1], start[-1]) + least
         pages, out, short = _page_ids(b), [], _short(tokens).astype(np.uint32)
         for i, a, z in zip(new.tolist(), lo.tolist(), hi.tolist(), strict=True):
             raw, page = short[a:z].tobytes(), int(pages[row[i]])
-            key = (int(h[i]), hash(raw))
+            key = (int(h[i]), int(chunk[row[i]]), hash(raw))
             known = sent.get(key)
             if known is None:
                 sent[key] = page
@@ -157,12 +164,12 @@ def _spans(batches: Iterator[pa.RecordBatch], path: str, shards: int, slices: in
                 continue
             else:
                 sent[key] = True
-            out.append((int(h[i]) % slices, int(h[i].view(np.int64)), page, int(host[row[i]].view(np.int64)), raw))
+            out.append((int(h[i]) % slices, int(chunk[row[i]]), page, int(host[row[i]].view(np.int64)), raw))
         if len(sent) > 1_000_000:
             sent.clear()
         if out:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["slice", "anchor", "page_id", "host", "tokens"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["slice", "chunk", "page_id", "host", "tokens"])
 
 
 def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +193,7 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _repeats(table: pa.Table, least: int) -> pa.Table:
-    """One slice → the hashes of windows that stand in two pages or more of a host."""
+    """One slice → the hashes of windows that stand in two pages or more of a host, for each chunk that sent one."""
     spans = [np.frombuffer(x, np.uint32).astype(_U) for x in table.column("tokens").to_pylist()]
     pages, hosts = np.asarray(table.column("page_id")), np.asarray(table.column("host")).view(_U)
     sizes = np.array([len(x) for x in spans])
@@ -203,22 +210,28 @@ def _repeats(table: pa.Table, least: int) -> pa.Table:
     top = np.flatnonzero(new)
     last = np.append(top[1:], len(order)) - 1
     many = page[top] != page[last] if len(top) else np.empty(0, bool)
-    h = np.unique(X.mix(_roll(stream, least)[order[top[many]]] ^ host[top[many]])) if many.any() else np.empty(0, _U)
-    return pa.table({"h": pa.array(h.view(np.int64))})
+    many = np.repeat(many, np.diff(np.append(top, len(order))))
+    at = order[many]
+    h = X.mix(_roll(stream, least)[at] ^ hosts[which[at]]) if len(at) else np.empty(0, _U)
+    chunk = np.asarray(table.column("chunk"))[which[at]]
+    by = np.lexsort((h, chunk))
+    h, chunk = h[by], chunk[by]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])]) if len(h) else np.empty(0, bool)
+    return pa.table({"chunk": pa.array(chunk[new].astype(np.int32)), "h": pa.array(h[new].view(np.int64))})
 
 
-def _clean(path: str, shards: int, least: int) -> Callable:
+def _clean(path: str, least: int) -> Callable:
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.IntegerType()), T.StructField("removed", T.IntegerType())])
 
     @F.arrow_udf(kind)
-    def cleaned(text: pa.Array, host: pa.Array) -> pa.Array:
+    def cleaned(text: pa.Array, host: pa.Array, chunk: pa.Array) -> pa.Array:
         tokens, first = X.words(text)
         gone = np.zeros(len(tokens) + 1, np.int64)
         if len(tokens) >= least:
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
             start = np.flatnonzero(np.arange(len(tokens)) + least <= first[1:][row])
             h = X.mix(_roll(_short(tokens), least)[start] ^ _host_hash(host)[row[start]])
-            hit = start[Reader.at(path, shards).probe(h.view(np.int64))[0] > 0]
+            hit = start[Answers.at(path).probe(h.view(np.int64), np.asarray(chunk)[row[start]])[0]]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + least, -1)
         keep = np.cumsum(gone)[:-1] == 0
@@ -244,13 +257,13 @@ def remove_boilerplate(pages: DataFrame, min_tokens: int = 16) -> DataFrame:
         raise ValueError("min_tokens must be at least 2")
     spark = prepare(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    texts = written(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.coalesce(_visible()(F.col("html").cast("string")), F.lit("")).alias("text")))
-    seen = texts.mapInArrow(partial(_seen, least=min_tokens), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = written(seen.select("h", "n", F.lit(0).cast("long").alias("owner")))
+    texts = chunked(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.coalesce(_visible()(F.col("html").cast("string")), F.lit("")).alias("text")))
+    seen = texts.mapInArrow(partial(_seen, least=min_tokens), "chunk int, h long, n int")
+    everywhere = F.sum("n").over(Window.partitionBy("h"))  # an anchor has a row for each batch of pages at most
+    shared = written(seen.withColumn("everywhere", everywhere).where("everywhere > 1").select("chunk", "h", F.lit(0).cast("long").alias("owner")))
     slices = max(4 * shuffle_partitions(spark), shared.count() // 20_000)
-    path, shards = build_index(shared)
-    spans = texts.mapInArrow(partial(_spans, path=path, shards=shards, slices=slices, least=min_tokens), _SPAN)
-    repeats = spans.groupBy("slice").applyInArrow(grouped(_repeats, least=min_tokens), "h long").distinct()
-    path, shards = build_index(repeats.select("h", F.lit(1).alias("n"), F.lit(0).alias("owner")))
-    done = texts.withColumn("__wl_c", _clean(path, shards, min_tokens)(F.col("text"), F.col("host")))
+    spans = texts.mapInArrow(partial(_spans, path=answers(shared), slices=slices, least=min_tokens), _SPAN)
+    repeats = spans.groupBy("slice").applyInArrow(grouped(_repeats, least=min_tokens), "chunk int, h long")
+    path = answers(repeats.withColumn("owner", F.lit(0).cast("long")))
+    done = texts.withColumn("__wl_c", _clean(path, min_tokens)(F.col("text"), F.col("host"), F.col("__wl_chunk")))
     return done.select("page_id", "host", "__wl_c.text", "__wl_c.tokens", "__wl_c.removed")
