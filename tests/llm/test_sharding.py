@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from tests.llm.data import DOCS, awkward, rows
 from webloom.llm.sharding import with_shards, write_shards
 
@@ -29,6 +31,27 @@ def test_matches_brute_force(spark):
         assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "rate", "shard", "depth", "shard_bytes", "fits"]
 
 
+def test_deep_splits_and_clashing_names(spark):
+    """Rounds beyond the first, next to a document that is larger than the limit by itself, and keys that aren't numbers."""
+    docs = rows([(i, "x" * (5_000 if i == 7 else 3)) for i in range(400)])
+    df = spark.createDataFrame(docs, DOCS).withColumnsRenamed({"shard": "Shard", "rate": "Depth"}).withColumn("doc_id", F.concat(F.lit("k"), "doc_id"))
+    items = {f"k{i}": t for i, t, *_ in docs}
+    for limit in (10, 6_000):
+        got = with_shards(df, limit)
+        assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "depth", "shard_bytes", "fits"]
+        want = brute([(k, t) for k, t in items.items()], limit)
+        assert sorted(((r.doc_id, r.shard, r.depth, r.shard_bytes, r.fits) for r in got.collect()), key=repr) == want
+
+
+def test_rounds_go_on_until_all_fit(spark, monkeypatch):
+    from webloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "_STEP", 1)
+    docs = rows([(i, "x" * (100_000 if i < 2 else 1)) for i in range(64)])
+    got = with_shards(spark.createDataFrame(docs, DOCS), 60_000).collect()
+    assert sorted(((r.doc_id, r.shard, r.depth, r.shard_bytes, r.fits) for r in got), key=repr) == brute(docs, 60_000)
+
+
 def test_empty_table(spark):
     assert with_shards(spark.createDataFrame([], DOCS), 10).count() == 0
 
