@@ -23,10 +23,10 @@ documents, two different ASCII values never share one, and the key's holder can
 Numbers that fail their validation stay as they are.  Texts without a digit and an @ never leave
 the JVM; the others pass through one Arrow function.
 
-Nulls, ties and odd rows: null and empty texts stay; where two formats overlap, the one that
+Nulls, ties and odd rows: null and empty texts stay; a text of any length is searched whole, in linear time; where two formats overlap, the one that
 starts first wins, then the order secret, email, iban, date, ip, phone, ssn, card; repeated rows
 are treated alike.  ``n_chars``, if there, follows a changed text; other columns are passed on,
-but one named pseudonyms (the number of values replaced) gives way.  An empty table gives no rows.
+but one named pseudonyms (the number of values replaced), in any case, gives way.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,13 +97,14 @@ def _matches(text: str) -> Iterator[re.Match]:
     """
     end = len(text)
     done, a, z, run = 0, -1, -1, -1
+    starts = _Runs(text)
     for m in _HINT.finditer(text):
         if m.start() >= z:
             if a >= 0:
                 for found in _PATTERN.finditer(text, max(a, done), z):
                     done = found.end()
                     yield found
-            a = max(_run_start(text, m.start()) - _LEAD, 0)
+            a = max(starts.before(m.start()) - _LEAD, 0)
         if m.end() > run:
             run = _run_end(text, m.end())
             z = _run_end(text, min(run + _TAIL, end))
@@ -116,8 +117,16 @@ _SPACE = re.compile(r"\s")
 _LEAD, _TAIL = 24, 48
 
 
-def _run_start(text: str, at: int) -> int:
-    return max(text.rfind(c, 0, at) for c in " \n\t") + 1
+class _Runs:
+    """Where the run of other characters than space, line feed and tab begins that a position stands in; positions ascend, so each character is looked at once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.last = text, 0, -1
+
+    def before(self, at: int) -> int:
+        self.last = max(self.last, *(self.text.rfind(c, self.at, at) for c in " \n\t"))
+        self.at = at
+        return self.last + 1
 
 
 def _run_end(text: str, at: int) -> int:
@@ -317,7 +326,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     prepare(docs.sparkSession)
     text = F.col("text").cast("string")
     maybe = F.when(text.rlike("[0-9@]"), text)
-    keep = [c for c in docs.columns if c != "pseudonyms"]
+    keep = [c for c in docs.columns if c.lower() != "pseudonyms"]
     found = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__wl_found", _udf(key)(maybe))
     new = {"text": F.coalesce(F.col("__wl_found.text"), F.col("text")), "n_chars": F.when(F.col("__wl_found.n") > 0, F.length(F.col("__wl_found.text"))).otherwise(F.col("n_chars"))}
     return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in keep], F.coalesce(F.col("__wl_found.n"), F.lit(0)).alias("pseudonyms"))
