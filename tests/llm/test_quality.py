@@ -74,6 +74,8 @@ def test_cutoffs_match_brute_force(spark):
     docs, labels = corpus()
     half = [(*d[:2], "de" if d[0] % 2 else None, *d[3:]) for d in docs]
     got = {(r.stratum, r.rule): (r.n, r.k, r.cutoff) for r in thresholds(spark.createDataFrame(half, DOCS), spark.createDataFrame(labels, LABELS), alpha=0.2).collect()}
+    df, lab = spark.createDataFrame(half, DOCS), spark.createDataFrame(labels, LABELS)
+    assert {(r.stratum, r.rule): (r.n, r.k, r.cutoff) for r in thresholds(df, lab, alpha=0.2, broadcast_rows=0).collect()} == got
     for lang in ("de", None):
         texts = [t for (i, t, x, *_), (_, q, _) in zip(half, labels) if x == lang and q]
         k = cautious_rank(len(texts), 0.2 / 5, 0.05 / 10)
@@ -82,6 +84,16 @@ def test_cutoffs_match_brute_force(spark):
             assert got[lang, rule][2] == pytest.approx(sorted((plain(t)[rule] for t in texts), reverse=True)[k - 1])
 
 
+def test_clashing_names_in_any_case(spark):
+    docs, labels = corpus(300)
+    df = spark.createDataFrame(docs, DOCS).withColumnsRenamed({"rate": "Failed", "shard": "REJECTED"})
+    got = quality_rules(df, spark.createDataFrame(labels, LABELS), alpha=0.2)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "failed", "rejected"]
+    want = quality_rules(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), alpha=0.2)
+    pick = lambda d: sorted((r.doc_id, tuple(r.failed)) for r in d.collect())
+    assert pick(got) == pick(want) and any(f for _, f in pick(got))
+
+
 def test_awkward_rows(spark):
     docs = awkward()
     df = spark.createDataFrame(docs, DOCS)

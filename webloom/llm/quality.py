@@ -20,11 +20,11 @@ shouting (all-ASCII words with two upper-case letters or more and no lower-case
 word before), tables (words that are a single |), and doubling (lines with a word that repeat an
 earlier line of the text, but for white space at their ends).
 
-Nulls, ties and odd rows: null and empty texts have no measures and are rejected by the separate
+Nulls, ties and odd rows: texts of any length are measured whole; null and empty texts have no measures and are rejected by the separate
 rule ``empty``, which needs no cutoff; a value equal to the cutoff is kept; labels without
 quality or doc_id are ignored, repeated ones count once per (doc_id, quality), and a doc_id labelled both
 ways isn't used; a null lang is a stratum of its own; repeated rows are judged alike; other columns
-are passed on, but ones named rejected or failed give way.  An empty table gives no rows.
+are passed on, but ones named rejected or failed, in any case, give way.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -123,17 +123,23 @@ def cautious_rank(n: int, rate: float, level: float) -> int:
     return n
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(stratum, rule, n, k, cutoff): one row for each stratum with good labels, and rule; a null cutoff rejects nothing.
 
-    What comes to the driver is the number of good labels of each stratum.
+    Up to ``broadcast_rows`` good labels (8 MB) are broadcast, and only their documents measured; beyond that all documents are
+    measured and their measures joined.  What comes to the driver is the number of good labels of each stratum.
     """
     spark = prepare(docs.sparkSession)
     kinds = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__wl_id")).agg(F.min("quality").alias("lo"))
-    good = kinds.where("lo = 1").select("__wl_id")
-    # measures first, so that the join moves them and not the texts; an inner join, as a semi-join would be pushed below them
-    texts = docs.where("text <> ''").select(F.col("doc_id").alias("__wl_doc"), F.col(stratum).cast("string").alias("stratum"), measures(F.col("text").cast("string")).alias("m"))
-    rows = written(texts.join(good, F.col("__wl_doc") == F.col("__wl_id")).select("stratum", *[f"m.{r}" for r in RULES]))
+    good = written(kinds.where("lo = 1").select("__wl_id"))
+    texts, match = docs.where("text <> ''"), F.col("doc_id") == F.col("__wl_id")
+    found = [F.col(stratum).cast("string").alias("stratum"), measures(F.col("text").cast("string")).alias("m")]
+    if good.count() <= broadcast_rows:
+        held = texts.join(F.broadcast(good), match, "left_semi").select(*found)
+    else:
+        # measures first, so that the join moves them and not the texts; an inner join, as a semi-join would be pushed below them
+        held = texts.select("doc_id", *found).join(good, match)
+    rows = written(held.select("stratum", *[f"m.{r}" for r in RULES]))
     counts = rows.groupBy("stratum").count().collect()
     rate, level = alpha / len(RULES), delta / (len(RULES) * max(1, len(counts)))
     ranks = spark.createDataFrame([(r["stratum"], r["count"], cautious_rank(r["count"], rate, level)) for r in counts], "stratum string, n long, k int")
@@ -150,7 +156,7 @@ def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFra
     """docs with ``failed``, the rules each row fails, and ``rejected``; at most a few rows per stratum are broadcast."""
     prepare(docs.sparkSession)
     table = cutoffs.groupBy(F.col("stratum").alias("__wl_s")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__wl_c"))
-    keep = [c for c in docs.columns if c not in ("rejected", "failed")]
+    keep = [c for c in docs.columns if c.lower() not in ("rejected", "failed")]
     base = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__wl_m", measures(F.col("text").cast("string")))
     joined = base.join(F.broadcast(table), F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col("__wl_s")), "left")
     empty = F.coalesce(F.col("text").cast("string"), F.lit("")) == ""
