@@ -105,7 +105,10 @@ def units(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         none = np.empty(0, dtype=np.int64)
         return data, none, none, np.zeros(len(off), dtype=np.int64)
     _, ends = _bounds(data, off)
-    ends = np.union1d(ends, off[off > 0])
+    rows = off[np.flatnonzero(np.diff(off)) + 1]  # where a row that isn't empty ends
+    at = np.minimum(np.searchsorted(ends, rows), max(len(ends) - 1, 0))
+    open_ = ends[at] != rows if len(ends) else np.ones(len(rows), bool)
+    ends = np.insert(ends, np.searchsorted(ends, rows[open_]), rows[open_])
     starts = np.concatenate([[0], ends[:-1]])
     return data, starts, ends, np.searchsorted(starts, off).astype(np.int64)
 
@@ -134,8 +137,9 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
 def byte_counts(col: pa.Array, tables: list[np.ndarray]) -> list[np.ndarray]:
     """For each boolean table of 256 entries, how many bytes of each row it marks."""
     data, off = buffer(col)
+    rows = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
     out = []
     for table in tables:
-        run = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
-        out.append(run[off[1:]] - run[off[:-1]])
+        marks = table[data]
+        out.append(np.array([np.count_nonzero(marks[a:z]) for a, z in rows], dtype=np.int64))
     return out

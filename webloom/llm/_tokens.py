@@ -43,19 +43,25 @@ class Counter:
         data, starts, ends, first = X.units(col)
         if not len(starts):
             return np.zeros(len(col), np.int64)
-        uniq, at, back = np.unique(X.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.keys, uniq)
+        coded = pa.array(X.span_hashes(data, starts, ends)).dictionary_encode()
+        uniq, back = np.asarray(coded.dictionary), np.asarray(coded.indices)
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))  # entries are in the order in which they come first
+        order, slot = np.argsort(uniq), np.empty(len(uniq), np.int64)
+        slot[order] = np.searchsorted(self.keys, uniq[order])
         known = np.zeros(len(uniq), bool)
         inside = slot < len(self.keys)
         known[inside] = self.keys[slot[inside]] == uniq[inside]
         counts = np.empty(len(uniq), np.uint32)
         counts[known] = self.counts[slot[known]]
         new = np.flatnonzero(~known)
-        raw = data.tobytes()
-        counts[new] = [self._of(raw[a:b]) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-        keys, kept = np.concatenate([self.keys, uniq[new]]), np.concatenate([self.counts, counts[new]])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.counts = (keys[order], kept[order]) if len(keys) <= self.most else (uniq, counts)
+        if len(new):
+            raw = data.tobytes()
+            counts[new] = [self._of(raw[a:b]) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            if len(self.keys) > self.most:
+                self.keys, self.counts = uniq[order], counts[order]
+            else:
+                new = new[np.argsort(uniq[new])]
+                self.keys, self.counts = np.insert(self.keys, slot[new], uniq[new]), np.insert(self.counts, slot[new], counts[new])
         run = np.concatenate([[0], np.cumsum(counts[back], dtype=np.int64)])
         out = run[first[1:]] - run[first[:-1]]
         odd = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring_regex(col, _ODD), False)))

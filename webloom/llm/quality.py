@@ -62,7 +62,10 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
         return {r: np.zeros(n) for r in RULES}
 
     def run(marks: np.ndarray) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
+        out = np.empty(len(marks) + 1, np.int32 if len(marks) < 1 << 31 else np.int64)
+        out[0] = 0
+        np.cumsum(marks, out=out[1:])
+        return out
 
     def per_row(total: np.ndarray, at: np.ndarray) -> np.ndarray:
         return total[at[1:]] - total[at[:-1]]
@@ -70,8 +73,7 @@ def measure(col: pa.Array) -> dict[str, np.ndarray]:
     def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
         return part / np.maximum(whole, 1)
 
-    chars = per_row(run(_LEAD[data] & ~X._SPACE[data]), off)
-    symbols = per_row(run(_SYMBOL[data]), off)
+    chars, symbols = X.byte_counts(col, [_LEAD & ~X._SPACE, _SYMBOL])
     starts, ends = X._bounds(data, off)
     first = np.searchsorted(starts, off)
     words = np.diff(first)
