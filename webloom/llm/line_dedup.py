@@ -63,7 +63,7 @@ def _kept(path: str) -> Callable[..., Column]:
         off = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(sizes)))]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(off), pa.array(at[keep].astype(np.int32)), mask=pa.array(same))
 
-    return kept
+    return kept.asNondeterministic()  # or the filter below would be moved under it, with the call and the lambdas a second time
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
