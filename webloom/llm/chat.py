@@ -12,9 +12,10 @@ assistant turns and their end mark are trained on, all other characters aren't.
 
 Everything is native expressions over one shuffle by key per table.
 
-Nulls, ties and odd rows: turns with a null key are left out; turns are ordered by (turn, role,
-text), nulls first, so repeated turn numbers have one order and repeated rows stay; a null
-role renders as "unknown", a null text as empty.  A key that only one table holds is left out,
+Nulls, ties and odd rows: turns with a null key are left out; a null
+role renders as "unknown", a null text as empty; turns are ordered by (turn, role,
+text) so rendered, a null turn first, so repeated turn numbers have one order and repeated rows stay.  A conversation becomes
+one row, whatever its length; very long texts are rendered whole.  A key that only one table holds is left out,
 and so is a pair without any assistant text after the prefix on either side (identical
 conversations, or one that is a prefix of the other and adds no reply).  A side that ends within
 the prefix has an empty completion.  Extra columns are ignored.  Empty tables give no rows.
@@ -103,3 +104,24 @@ def echo_rejections(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = kept.select("conv_id", "turn", "role", "text")
     rejected = kept.select("conv_id", "turn", "role", F.when(F.col("at") == F.col("last"), F.col("prev")).otherwise(F.col("text")).alias("text"))
     return chosen, rejected
+
+
+def early_rejections(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chosen, rejected) from plain conversations that part at any reply, with all turns after it.
+
+    Of the n assistant turns that have a turn before them, the rejected side's number 1 + conv_id mod n repeats that earlier
+    turn's text; where conv_id is even, the turn behind it is missing too.  All other turns are on both sides.
+    Conversations without such a reply give no pair; a conv_id that is no number counts as 0.
+    """
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).where("conv_id is not null")
+    whole = Window.partitionBy("conv_id")
+    order = whole.orderBy("turn", "role", "text")
+    placed = rows.withColumns({"at": F.row_number().over(order), "prev": F.lag("text").over(order)})
+    reply = F.when((F.col("role") == "assistant") & (F.col("at") > 1), 1)
+    counted = placed.withColumns({"n": F.count(reply).over(whole), "k": F.when(reply == 1, F.count(reply).over(whole.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))})
+    number = F.coalesce(F.col("conv_id").try_cast("long"), F.lit(0))
+    parted = counted.withColumn("here", F.max(F.when(F.col("k") == 1 + F.pmod(number, F.nullif(F.col("n"), F.lit(0))), F.col("at"))).over(whole)).where("here is not null")
+    chosen = parted.select("conv_id", F.col("at").alias("turn"), "role", "text")
+    text = F.when(F.col("at") == F.col("here"), F.col("prev")).otherwise(F.col("text")).alias("text")
+    rejected = parted.where(~((F.col("at") == F.col("here") + 1) & (F.pmod(number, F.lit(2)) == 0))).select("conv_id", F.col("at").alias("turn"), "role", text)
+    return chosen, rejected

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.boilerplate import remove_boilerplate
-from webloom.llm.chat import echo_rejections, preference_pairs, spans
+from webloom.llm.chat import early_rejections, preference_pairs, spans
 from webloom.llm.embeddings import embedding_near_dup
 from webloom.llm.line_dedup import line_dedup
 from webloom.llm.mixing import mixing_rates
@@ -44,7 +44,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference_pairs(*echo_rejections(_table(spark, sf_dir, "conversations")))
+    pairs = preference_pairs(*early_rejections(_table(spark, sf_dir, "conversations")))
     listed = {f"{x}_trained": F.array_join(F.transform(spans(F.col(f"{x}_segments")), lambda s: F.concat_ws("-", s["start"], s["end"])), ",") for x in ("chosen", "rejected")}
     return pairs.withColumns(listed).drop("chosen_segments", "rejected_segments")
 
@@ -134,22 +134,35 @@ ORACLE: dict[str, str] = {
     """,
     "op4_chat_formatting": r"""
         WITH t AS (
-            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i
-            FROM conversations WHERE conv_id IS NOT NULL
-        ), l AS (
-            SELECT conv_id, max(i) AS i FROM t WHERE role = 'assistant' AND i > 1 GROUP BY 1
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
         ), p AS (
-            SELECT t.conv_id, l.i - 1 AS before,
-                string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY t.i) FILTER (t.i < l.i) AS prompt,
-                max(text) FILTER (t.i = l.i) AS yes, max(text) FILTER (t.i = l.i - 1) AS no
-            FROM t JOIN l ON t.conv_id = l.conv_id AND t.i <= l.i GROUP BY 1, 2
+            SELECT conv_id, role, text, row_number() OVER w AS i, lag(text) OVER w AS prev FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), a AS (
+            SELECT conv_id, i, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM p WHERE role = 'assistant' AND i > 1
+        ), s AS (
+            SELECT conv_id, i AS here FROM a WHERE k = 1 + conv_id % n
+        ), c AS (
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS c FROM p JOIN s USING (conv_id) GROUP BY 1
         ), r AS (
-            SELECT *, '<|assistant|>' || chr(10) AS head, yes || '<|end|>' || chr(10) AS c, no || '<|end|>' || chr(10) AS r FROM p WHERE yes <> no
+            SELECT conv_id, list({'role': role, 'text': CASE WHEN i = here THEN prev ELSE text END} ORDER BY i) AS r
+            FROM p JOIN s USING (conv_id) WHERE NOT (i = here + 1 AND conv_id % 2 = 0) GROUP BY 1
+        ), b AS (
+            SELECT conv_id, c, r, list_filter(range(1, greatest(len(c), len(r)) + 2), lambda i: i > least(len(c), len(r)) OR c[i] <> r[i])[1] - 1 AS n FROM c JOIN r USING (conv_id)
+        ), y AS (
+            SELECT conv_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM b
         )
-        SELECT conv_id, before::INTEGER AS prefix_turns, prompt, head || c AS chosen, head || r AS rejected,
-            length(head) || '-' || (length(head) + length(c)) AS chosen_trained, length(head) || '-' || (length(head) + length(r)) AS rejected_trained
-        FROM r
+        SELECT conv_id, n::INTEGER AS prefix_turns,
+            list_reduce(list_transform(p, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), lambda x, y: x || y, '') AS prompt,
+            list_reduce(list_transform(c, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), lambda x, y: x || y, '') AS chosen,
+            list_reduce(list_transform(r, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), lambda x, y: x || y, '') AS rejected,
+            array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda j: c[j].role = 'assistant'), lambda j:
+                (coalesce(list_sum(list_transform(c[1:j - 1], lambda z: length(z.role) + length(z.text) + 13)), 0)::INTEGER + 14)
+                || '-' || (coalesce(list_sum(list_transform(c[1:j], lambda z: length(z.role) + length(z.text) + 13)), 0)::INTEGER)), ',') AS chosen_trained,
+            array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda j: r[j].role = 'assistant'), lambda j:
+                (coalesce(list_sum(list_transform(r[1:j - 1], lambda z: length(z.role) + length(z.text) + 13)), 0)::INTEGER + 14)
+                || '-' || (coalesce(list_sum(list_transform(r[1:j], lambda z: length(z.role) + length(z.text) + 13)), 0)::INTEGER)), ',') AS rejected_trained
+        FROM y
+        WHERE len(list_filter(list_concat(c, r), lambda x: x.role = 'assistant' AND x.text <> '')) > 0
     """,
     "op6_embedding_near_dup": r"""
         WITH RECURSIVE v AS (
