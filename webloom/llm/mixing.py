@@ -7,13 +7,16 @@ documents that are there), gives every document
 posteriors p_k.  With t tokens, document i brings t_i p_ik expected tokens to domain k, and
 rates r_i >= 0 are sought for which the totals meet the targets: least squares over
 
-    sum_k (sum_i r_i t_i p_ik - target_k)^2
+    sum_k (sum_i r_i t_i p_ik - target_k)^2 + pull sum_i t_i (r_i - 1)^2        (totals as shares of all tokens)
 
 by projected gradient with momentum, in the metric that weighs each document by its tokens.  Rates depend on a document's
 posteriors only, so documents whose posteriors fall into the same cell of a grid (steps of 1/256) share a rate: one
 distributed aggregation gives the tokens and expected domain tokens of every cell, exact integers that don't depend on the
 order of tasks, and the iteration runs over the cells, at most 33,153 at any size of the corpus, until
-the totals meet the targets or the projected gradient vanishes.  There is no limit of steps.
+the projected gradient vanishes; there is no limit of steps.  The small pull towards 1 makes the solution unique and
+r = max(0, 1 - p.gap / pull), so documents of like posteriors have like rates: without it, a target that hardly any
+document serves is met by giving a few of them hundreds of copies and none to all others.  It costs a gap of about pull
+times the change of rates (1e-4 of the tokens for rates of 2).
 ``budget`` is the sum of the targets in units of the corpus's tokens.  Where the targets can't be met with rates of 0 or
 more, the result is the nearest mix.
 
@@ -195,50 +198,52 @@ def cells(scored: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return got.column("cell").to_numpy(), w.sum(axis=1), w
 
 
-def solve(cell: np.ndarray, tokens: np.ndarray, mass: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """The rate of each cell, for expected totals of ``goal`` in units of all tokens; FISTA with restarts, to stationarity."""
+def solve(cell: np.ndarray, tokens: np.ndarray, mass: np.ndarray, goal: np.ndarray, pull: float = 1e-4) -> np.ndarray:
+    """The rate of each cell, for expected totals of ``goal`` in units of all tokens; projected gradient with momentum and
+    restarts, to stationarity.
+    """
     rate, total = np.ones(len(cell)), tokens.sum()
     if not total:
         return rate
     middle = np.stack([cell % (_GRID + 1), cell // (_GRID + 1)], axis=1) / _GRID + 0.5 / _GRID
     middle = np.column_stack([np.maximum(0, 1 - middle.sum(axis=1)), middle])  # for cells of empty texts only
     p = np.where(tokens[:, None] > 0, mass / np.maximum(tokens, 1e-9)[:, None], middle)
-    top = np.linalg.eigvalsh((mass.T @ p) / total)[-1]
+    top = np.linalg.eigvalsh((mass.T @ p) / total)[-1] + pull
     look, last, turn, best, stale = rate, np.inf, 1.0, np.inf, 0
     while stale < 2000:  # beyond that, the loss no longer falls in floating point
-        new = np.maximum(0.0, look - p @ ((mass.T @ look) / total - goal) / top)
-        moved = np.sqrt((tokens * (new - look) ** 2).sum() / total)
+        new = np.maximum(0.0, look - (p @ ((mass.T @ look) / total - goal) + pull * (look - 1)) / top)
+        moved = np.abs(new - look).max()
         gap = (mass.T @ new) / total - goal
-        loss = float(gap @ gap)
+        loss = float(gap @ gap) + pull * float((tokens * (new - 1) ** 2).sum() / total)
         if loss > last:
             turn = 1.0
         after = (1 + np.sqrt(1 + 4 * turn * turn)) / 2
         look = new + (turn - 1) / after * (new - rate)
         rate, last, turn = new, loss, after
-        if np.abs(gap).max() <= 1e-9 * goal.sum() or moved <= 1e-10:
+        if moved <= 1e-10:
             break
-        best, stale = (loss, 0) if loss < best * (1 - 1e-12) else (best, stale + 1)
+        best, stale = (loss, 0) if loss < best * (1 - 1e-14) else (best, stale + 1)
     return rate
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, texts: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, pull: float = 1e-4, texts: bool = True) -> DataFrame:
     """docs with tokens, p_clean, p_low, p_toxic, rate and copies; ``repeated`` makes the copies."""
-    if budget <= 0 or min(targets.values()) < 0 or sum(targets.get(d, 0) for d in DOMAINS) <= 0:
-        raise ValueError("budget must be positive, targets not negative and their sum positive")
+    if budget <= 0 or pull <= 0 or min(targets.values()) < 0 or sum(targets.get(d, 0) for d in DOMAINS) <= 0:
+        raise ValueError("budget and pull must be positive, targets not negative and their sum positive")
     keep = [c for c in docs.columns if c.lower() not in ("rate", "copies") and (texts or c != "text")]
     scored = posteriors(docs, classifier(docs, labels, sample_rows), vocabulary)
     table = written(scored.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(k for k in keep if k.lower() not in _SCORED.names), *_SCORED.names])]))
     share = np.array([targets.get(d, 0.0) for d in DOMAINS])
     found = cells(table)
-    rates = docs.sparkSession.createDataFrame(list(zip(found[0].tolist(), solve(*found, share / share.sum() * budget).tolist(), strict=True)), "__wl_cell int, rate double")
+    rates = docs.sparkSession.createDataFrame(list(zip(found[0].tolist(), solve(*found, share / share.sum() * budget, pull).tolist(), strict=True)), "__wl_cell int, rate double")
     rated = table.withColumn("__wl_cell", _cell()).join(F.broadcast(rates), "__wl_cell").drop("__wl_cell")
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rated.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, pull: float = 1e-4) -> DataFrame:
     """(doc_id, tokens, p_clean, p_low, p_toxic, rate, copies) of every row."""
-    return mixed(docs.select("doc_id", "text"), labels, targets, vocabulary, budget, sample_rows, texts=False)
+    return mixed(docs.select("doc_id", "text"), labels, targets, vocabulary, budget, sample_rows, pull, texts=False)
 
 
 def repeated(rows: DataFrame) -> DataFrame:

@@ -125,10 +125,10 @@ def cautious_rank(n: int, rate: float, level: float) -> int:
     return n
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, broadcast_rows: int = 1_000_000) -> DataFrame:
+def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, broadcast_rows: int = 200_000) -> DataFrame:
     """(stratum, rule, n, k, cutoff): one row for each stratum with good labels, and rule; a null cutoff rejects nothing.
 
-    Up to ``broadcast_rows`` good labels (8 MB) are broadcast, and only their documents measured; beyond that all documents are
+    Up to ``broadcast_rows`` good labels (some 15 MB as a hash table) are broadcast, and only their documents measured; beyond that all documents are
     measured and their measures joined.  What comes to the driver is the number of good labels of each stratum.
     """
     spark = prepare(docs.sparkSession)
