@@ -111,3 +111,60 @@ def test_any_input_gives_a_sound_tree(parts):
     for n in t.document.walk():
         assert all(c.parent is n for c in n.children)
     assert t.head.parent is t.body.parent
+
+
+def test_formatting_closed_inside_foreign_content():
+    t = parse("<i><p><svg></i><p>x")
+    assert t.body.text == "x" and t.body.get_elements_by_tag_name("svg")
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    started = time.process_time()
+    deep = parse("<div class=x>" * 8000 + "text" + "</div>" * 8000)
+    assert deep.document.html.count("<div") == 8000 and deep.document.clone().html == deep.document.html
+    wide = parse("<ul>" + "<li>x" * 20_000).document
+    assert len(wide.query_selector_all("li:nth-child(3n)")) == 6666 and len(wide.query_selector_all("li:nth-last-of-type(2n+1)")) == 10_000
+    assert len(wide.query_selector_all("li + li")) == 19_999
+    assert time.process_time() - started < 3
+
+
+def test_places_follow_mutation():
+    ul = parse("<ul><li>1<b>x</b></li><p>2</p><li>3</li></ul>").body.query_selector("ul")
+    assert [n.text for n in ul.query_selector_all(":nth-child(2)")] == ["2"] and ul.last_child.index == 2
+    ul.insert_before(dom.create_element("li"), ul.first_child)
+    assert [n.text for n in ul.query_selector_all("li:nth-of-type(2)")] == ["1x"] and ul.last_child.index == 3
+    ul.remove_child(ul.first_child)
+    ul.first_child.before(moved := ul.last_child)
+    assert moved.index == 0 and moved.prev is None and moved.next.text == "1x" and ul.query_selector(":last-child").text == "x"
+    assert [n.text for n in ul.query_selector_all("p:only-of-type")] == ["2"]
+    ul.replace_children(dom.create_text("t"), dom.create_element("i"))
+    assert ul.html == "<ul>t<i></i></ul>" and moved.parent is None and ul.elements[0].index == 1
+
+
+def test_collections():
+    body = parse("<div id=a class=k><p name=n>1<div class=k><p id=b>2</p></div></div><p>3</p>").body
+    divs = body.get_elements_by_tag_name("div")
+    assert [n.text for n in divs.query_selector_all("p")] == ["1", "2", "2"]  # concatenated, not made distinct
+    assert isinstance(divs[::-1], dom.Nodes) and divs[-1] is divs[1] and [n.id for n in divs[:1]] == ["a"]
+    assert divs.get_element_by_id("b").text == "2" and divs.query_selector("p").text == "1" and divs.matches("#b")
+    ps = body.get_elements_by_tag_name("p")
+    assert ps.named_item("n").text == "1" and ps.named_item("b").text == "2" and ps.named_item("") is None
+    assert [n.text for n in ps.matching("div div p")] == ["2"] and len(divs.get_elements_by_class_name("k")) == 1 and len(divs.get_elements_by_attr("id", "b")) == 2
+
+
+def test_character_data_tokens_and_doctypes():
+    t = dom.create_text("abcdef")
+    t.replace_data(1, 2, "X")
+    t.insert_data(0, "<")
+    t.append_data(">")
+    t.delete_data(3, 100)
+    assert t.value == "<aX" and t.substring_data(1, 9) == "aX"
+    p = parse("<p class='a b'>").body.first_child
+    assert p.replace_class("a", "b") and p.class_name == "b" and not p.replace_class("q", "r")
+    assert p.toggle_attr("hidden") and "hidden" in p.attrs and not p.toggle_attr("hidden") and p.toggle_attr("hidden", True)
+    kind = lambda page: next(n for n in parse(page).document.children if n.kind == dom.DOCTYPE).doctype_ids
+    assert kind("<!doctype html>") == ("html", "", "") and kind("<!DOCTYPE html SYSTEM 'about:legacy'>") == ("html", "", "about:legacy")
+    assert kind('<!DOCTYPE HTML PUBLIC "-//W3C//DTD HTML 4.01//EN" "http://x/s.dtd">') == ("html", "-//W3C//DTD HTML 4.01//EN", "http://x/s.dtd")
+    assert parse(b"<p>\xff\xc3\xa9").body.text == "\ufffd\u00e9"

@@ -43,18 +43,43 @@ def _decode(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("kind", "tag", "attrs", "value", "children", "parent", "foreign")
+    __slots__ = ("kind", "tag", "attrs", "value", "children", "parent", "foreign", "_order", "_totals")
 
     def __init__(self, kind: int, tag: str = "", attrs: dict[str, str] | None = None, value: str = ""):
         self.kind, self.tag, self.attrs, self.value = kind, tag, attrs if attrs is not None else {}, value
         self.children: list[Node] = []
         self.parent: Node | None = None
         self.foreign = False
+        self._order: dict[int, tuple[int, int, int]] | None = None
+        self._totals: dict[str, int] | None = None
 
     # navigation
+    def order(self) -> dict[int, tuple[int, int, int]]:
+        """By id() of each child: (index, number among the elements, number among those of its tag), counted once until children change."""
+        if self._order is None or len(self._order) != len(self.children):
+            tags: dict[str, int] = {}
+            n, found = 0, {}
+            for i, c in enumerate(self.children):
+                if c.kind == ELEMENT:
+                    n, tags[c.tag] = n + 1, tags.get(c.tag, 0) + 1
+                found[id(c)] = (i, n, tags.get(c.tag, 0))
+            self._order, self._totals = found, None
+        return self._order
+
+    def totals(self) -> dict[str, int]:
+        """The number of child elements by tag, and of all under the empty string."""
+        self.order()
+        if self._totals is None:
+            self._totals = {"": 0}
+            for c in self.children:
+                if c.kind == ELEMENT:
+                    self._totals[""] += 1
+                    self._totals[c.tag] = self._totals.get(c.tag, 0) + 1
+        return self._totals
+
     @property
     def index(self) -> int:
-        return next(i for i, c in enumerate(self.parent.children) if c is self) if self.parent else 0
+        return self.parent.order()[id(self)][0] if self.parent else 0
 
     @property
     def next(self) -> Node | None:
@@ -69,8 +94,8 @@ class Node:
         return self.parent.children[at - 1] if self.parent and at else None
 
     @property
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if c.kind == ELEMENT]
+    def elements(self) -> Nodes:
+        return Nodes(c for c in self.children if c.kind == ELEMENT)
 
     @property
     def first_child(self) -> Node | None:
@@ -135,9 +160,7 @@ class Node:
         if self.kind in (TEXT, COMMENT, PI):
             self.value = value
             return
-        for c in self.children:
-            c.parent = None
-        self.children = []
+        self.replace_children()
         if value:
             self.append_child(Node(TEXT, value=value))
 
@@ -178,21 +201,21 @@ class Node:
     def get_element_by_id(self, value: str, case_insensitive: bool = False) -> Node | None:
         return next(iter(self.get_elements_by_attr("id", value, case_insensitive)), None)
 
-    def get_elements_by_attr(self, name: str, wanted: str, case_insensitive: bool = False) -> list[Node]:
+    def get_elements_by_attr(self, name: str, wanted: str, case_insensitive: bool = False) -> Nodes:
         same = (lambda a: a.lower() == wanted.lower()) if case_insensitive else (lambda a: a == wanted)
-        return [n for n in self.descendants() if n.kind == ELEMENT and name in n.attrs and same(n.attrs[name])]
+        return Nodes(n for n in self.descendants() if n.kind == ELEMENT and name in n.attrs and same(n.attrs[name]))
 
-    def get_elements_by_class_name(self, name: str) -> list[Node]:
+    def get_elements_by_class_name(self, name: str) -> Nodes:
         want = set(name.split())
-        return [n for n in self.descendants() if n.kind == ELEMENT and want and want <= set(n.class_name.split())]
+        return Nodes(n for n in self.descendants() if n.kind == ELEMENT and want and want <= set(n.class_name.split()))
 
-    def get_elements_by_tag_name(self, name: str) -> list[Node]:
+    def get_elements_by_tag_name(self, name: str) -> Nodes:
         low = name.lower()
-        return [n for n in self.descendants() if n.kind == ELEMENT and low in ("*", n.tag)]
+        return Nodes(n for n in self.descendants() if n.kind == ELEMENT and low in ("*", n.tag))
 
-    def query_selector_all(self, selector: str) -> list[Node]:
+    def query_selector_all(self, selector: str) -> Nodes:
         test = compile_selector(selector)
-        return [n for n in self.descendants() if n.kind == ELEMENT and test(n)]
+        return Nodes(n for n in self.descendants() if n.kind == ELEMENT and test(n))
 
     def query_selector(self, selector: str) -> Node | None:
         test = compile_selector(selector)
@@ -211,8 +234,8 @@ class Node:
         if node.contains(self):
             raise ValueError("a node can't be put into itself")
         if node.parent is not None:
-            node.parent.children.remove(node)
-        node.parent = self
+            node.parent.remove_child(node)
+        node.parent, self._order = self, None
 
     def append_child(self, node: Node) -> Node:
         self._adopt(node)
@@ -228,6 +251,7 @@ class Node:
             return node
         self._adopt(node)
         self.children.insert(reference.index, node)
+        self._order = None
         return node
 
     def replace_child(self, node: Node, old: Node) -> Node:
@@ -242,7 +266,7 @@ class Node:
         if node.parent is not self:
             raise ValueError("not a child of this node")
         self.children.pop(node.index)
-        node.parent = None
+        node.parent = self._order = None
         return node
 
     def decompose(self) -> None:
@@ -261,13 +285,110 @@ class Node:
     def prepend(self, node: Node) -> None:
         self.insert_before(node, self.first_child)
 
+    def append(self, *nodes: Node) -> None:
+        for n in nodes:
+            self.append_child(n)
+
+    def replace_children(self, *nodes: Node) -> None:
+        for c in self.children:
+            c.parent = None
+        self.children, self._order = [], None
+        self.append(*nodes)
+
     def clone(self, deep: bool = True) -> Node:
-        new = Node(self.kind, self.tag, dict(self.attrs), self.value)
-        new.foreign = self.foreign
-        if deep:
-            for c in self.children:
-                new.append_child(c.clone())
-        return new
+        def one(n: Node) -> Node:
+            new = Node(n.kind, n.tag, dict(n.attrs), n.value)
+            new.foreign = n.foreign
+            return new
+
+        top = one(self)
+        todo = [(self, top)] if deep else []
+        while todo:
+            old, new = todo.pop()
+            for c in old.children:
+                copy = one(c)
+                new.children.append(copy)
+                copy.parent = new
+                todo.append((c, copy))
+        return top
+
+    # attributes and tokens beyond those above
+    def toggle_attr(self, name: str, force: bool | None = None) -> bool:
+        on = name not in self.attrs if force is None else force
+        if on:
+            self.attrs.setdefault(name, "")
+        else:
+            self.attrs.pop(name, None)
+        return on
+
+    def replace_class(self, old: str, new: str) -> bool:
+        names = self.class_list
+        if old not in names:
+            return False
+        self.attrs["class"] = " ".join(dict.fromkeys(new if c == old else c for c in names))
+        return True
+
+    # character data, of text and comments; offsets beyond the end count as the end
+    def substring_data(self, at: int, count: int) -> str:
+        return self.value[at : at + count]
+
+    def append_data(self, text: str) -> None:
+        self.value += text
+
+    def insert_data(self, at: int, text: str) -> None:
+        self.replace_data(at, 0, text)
+
+    def delete_data(self, at: int, count: int) -> None:
+        self.replace_data(at, count, "")
+
+    def replace_data(self, at: int, count: int, text: str) -> None:
+        self.value = self.value[:at] + text + self.value[at + count :]
+
+    # of a doctype
+    @property
+    def doctype_ids(self) -> tuple[str, str, str]:
+        """(name, public id, system id); what isn't given is empty."""
+        m = re.match(r"""\s*(\S*)(?:\s+(?:public\s*(?:"([^"]*)"|'([^']*)')\s*(?:"([^"]*)"|'([^']*)')?|system\s*(?:"([^"]*)"|'([^']*)')))?""", self.value, re.I)
+        a = m.groups(default="")
+        return a[0].lower(), a[1] or a[2], a[3] or a[4] or a[5] or a[6]
+
+
+class Nodes(list):
+    """Elements in document order; slices are Nodes too, and searches run from each element in turn, results concatenated as they come."""
+
+    def __getitem__(self, at):
+        found = super().__getitem__(at)
+        return Nodes(found) if isinstance(at, slice) else found
+
+    def get_element_by_id(self, value: str, case_insensitive: bool = False) -> Node | None:
+        return next((x for n in self if (x := n.get_element_by_id(value, case_insensitive)) is not None), None)
+
+    def get_elements_by_attr(self, name: str, wanted: str, case_insensitive: bool = False) -> Nodes:
+        return Nodes(x for n in self for x in n.get_elements_by_attr(name, wanted, case_insensitive))
+
+    def get_elements_by_class_name(self, name: str) -> Nodes:
+        return Nodes(x for n in self for x in n.get_elements_by_class_name(name))
+
+    def get_elements_by_tag_name(self, name: str) -> Nodes:
+        return Nodes(x for n in self for x in n.get_elements_by_tag_name(name))
+
+    def query_selector_all(self, selector: str) -> Nodes:
+        return Nodes(x for n in self for x in n.query_selector_all(selector))
+
+    def query_selector(self, selector: str) -> Node | None:
+        return next((x for n in self if (x := n.query_selector(selector)) is not None), None)
+
+    def matches(self, selector: str) -> bool:
+        return any(n.matches(selector) for n in self)
+
+    def matching(self, selector: str) -> Nodes:
+        """Those of the elements that match themselves, seen from the whole document."""
+        test = compile_selector(selector)
+        return Nodes(n for n in self if n.kind == ELEMENT and test(n))
+
+    def named_item(self, name: str) -> Node | None:
+        """The first element with that id, or else with that name."""
+        return next((n for key in ("id", "name") for n in self if name and n.attrs.get(key) == name), None)
 
 
 def create_element(tag: str, **attrs: str) -> Node:
@@ -279,19 +400,28 @@ def create_text(value: str) -> Node:
 
 
 def serialise(node: Node) -> str:
-    if node.kind == TEXT:
-        if node.parent is not None and node.parent.tag in RAW:
-            return node.value
-        return node.value.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;")
-    if node.kind == COMMENT:
-        return f"<!--{node.value}-->"
-    if node.kind == DOCTYPE:
-        return f"<!DOCTYPE {node.value}>"
-    inner = "".join(serialise(c) for c in node.children)
-    if node.kind == DOCUMENT:
-        return inner
-    attrs = "".join(' {}="{}"'.format(k, v.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace('"', "&quot;")) for k, v in node.attrs.items())
-    return f"<{node.tag}{attrs}>" + ("" if node.tag in VOID else f"{inner}</{node.tag}>")
+    out: list[str] = []
+    todo: list[Node | str] = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.kind == TEXT:
+            raw = n.parent is not None and n.parent.tag in RAW
+            out.append(n.value if raw else n.value.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace("<", "&lt;").replace(">", "&gt;"))
+        elif n.kind == COMMENT:
+            out.append(f"<!--{n.value}-->")
+        elif n.kind == DOCTYPE:
+            out.append(f"<!DOCTYPE {n.value}>")
+        elif n.kind == DOCUMENT:
+            todo.extend(reversed(n.children))
+        else:
+            attrs = "".join(' {}="{}"'.format(k, v.replace("&", "&amp;").replace("\xa0", "&nbsp;").replace('"', "&quot;")) for k, v in n.attrs.items())
+            out.append(f"<{n.tag}{attrs}>")
+            if n.tag not in VOID:
+                todo.append(f"</{n.tag}>")
+                todo.extend(reversed(n.children))
+    return "".join(out)
 
 
 def traverse(root: Node, start: Callable[[Node, int], None], end: Callable[[Node, int], None] | None = None, elements_only: bool = False) -> None:
@@ -325,19 +455,61 @@ class Tree:
         return ""
 
 
+class _Stack(list):
+    """The open elements, and how many there are of each tag."""
+
+    def __init__(self, nodes: list[Node] = ()):  # type: ignore[assignment]
+        super().__init__(nodes)
+        self.open: dict[str, int] = {}
+        self.ids: set[int] = set()
+        for n in nodes:
+            self._add(n, 1)
+
+    def _add(self, n: Node, by: int) -> None:
+        self.open[n.tag] = self.open.get(n.tag, 0) + by
+        (self.ids.add if by > 0 else self.ids.discard)(id(n))
+
+    def append(self, n: Node) -> None:
+        super().append(n)
+        self._add(n, 1)
+
+    def insert(self, at: int, n: Node) -> None:
+        super().insert(at, n)
+        self._add(n, 1)
+
+    def pop(self, at: int = -1) -> Node:
+        n = super().pop(at)
+        self._add(n, -1)
+        return n
+
+    def __setitem__(self, at: int, n: Node) -> None:
+        self._add(self[at], -1)
+        super().__setitem__(at, n)
+        self._add(n, 1)
+
+    def __delitem__(self, at: int | slice) -> None:
+        for n in self[at] if isinstance(at, slice) else [self[at]]:
+            self._add(n, -1)
+        super().__delitem__(at)
+
+
 class _Builder:
     def __init__(self):
         self.document = Node(DOCUMENT, "#document")
         self.root = self.head = self.body = None
-        self.stack: list[Node] = []
+        self.stack = _Stack()
         self.active: list[Node | None] = []
-        self.foreign = 0
+
+    @property
+    def foreign(self) -> int:
+        """How many svg and math elements are open."""
+        return self.stack.open.get("svg", 0) + self.stack.open.get("math", 0)
 
     def _need_root(self) -> None:
         if self.root is None:
             self.root = Node(ELEMENT, "html")
             self.document.append_child(self.root)
-            self.stack = [self.root]
+            self.stack = _Stack([self.root])
 
     def _need_head(self) -> None:
         self._need_root()
@@ -350,7 +522,7 @@ class _Builder:
             self._need_head()
             self.body = Node(ELEMENT, "body")
             self._put(self.root, self.body)
-            self.stack = [self.root, self.body]
+            self.stack = _Stack([self.root, self.body])
 
     @staticmethod
     def _put(parent: Node, node: Node) -> None:
@@ -365,6 +537,8 @@ class _Builder:
         return self.body is None and len(self.stack) > 1 and self.stack[1] is self.head
 
     def _in_scope(self, tags: set[str] | frozenset[str], stop: frozenset[str] = SCOPE) -> bool:
+        if not any(self.stack.open.get(t) for t in tags):
+            return False
         for n in reversed(self.stack):
             if n.tag in tags:
                 return True
@@ -381,10 +555,10 @@ class _Builder:
     def _reopen(self) -> None:
         """Opens formatting elements again that a block closed before them."""
         active, on = self.active, self.stack
-        if not active or active[-1] is None or any(active[-1] is n for n in on):
+        if not active or active[-1] is None or id(active[-1]) in on.ids:
             return
         i = len(active) - 1
-        while i > 0 and active[i - 1] is not None and not any(active[i - 1] is n for n in on):
+        while i > 0 and active[i - 1] is not None and id(active[i - 1]) not in on.ids:
             i -= 1
         for k in range(i, len(active)):
             new = Node(ELEMENT, active[k].tag, dict(active[k].attrs))
@@ -440,7 +614,7 @@ class _Builder:
             if self.head is None:
                 self._need_head()
                 self.head.attrs = attrs
-                self.stack = [self.root, self.head]
+                self.stack = _Stack([self.root, self.head])
             return None
         if tag == "body":
             if self.body is None:
@@ -454,7 +628,7 @@ class _Builder:
             if tag in HEAD_ONLY and not self.foreign:
                 if not self._in_head():
                     self._need_head()
-                    self.stack = [self.root, self.head]
+                    self.stack = _Stack([self.root, self.head])
                 return self._open(tag, attrs, tag in VOID)
             if tag == "frameset":
                 return None
@@ -463,13 +637,11 @@ class _Builder:
             self._reopen()
             n = self._open(tag, attrs, self_closing)
             n.foreign = True
-            self.foreign += not self_closing
             return n
         if self.foreign:
             if tag in CLOSES_P or tag in FORMATTING - {"a"}:
                 while self.foreign:
-                    n = self.stack.pop()
-                    self.foreign -= n.tag in ("svg", "math")
+                    self.stack.pop()
             else:
                 return self._open(tag, attrs, self_closing)
         if tag in CLOSES_P:
@@ -482,7 +654,7 @@ class _Builder:
             if tag in HEADINGS and self.top.tag in HEADINGS:
                 self.stack.pop()
         elif tag in _TABLE_PARTS:
-            if not any(n.tag == "table" for n in self.stack):
+            if not self.stack.open.get("table"):
                 return None
             while self.top.tag in _TABLE_PARTS[tag] or (self.top.tag not in ("table", "tbody", "thead", "tfoot", "tr", "template", "body") and self._in_scope(_TABLE_PARTS[tag], frozenset({"table", "template"}))):
                 self.stack.pop()
@@ -509,7 +681,7 @@ class _Builder:
                 if n.tag == "a":
                     self.end("a")
                     self.active = [x for x in self.active if x is not n]
-                    self.stack = [x for x in self.stack if x is not n]
+                    self.stack = _Stack([x for x in self.stack if x is not n])
                     break
         if tag not in CLOSES_P or tag == "hr":
             if tag != "hr":
@@ -544,7 +716,7 @@ class _Builder:
         if self.body is None:
             if self._in_head():
                 if tag == "head":
-                    self.stack = [self.root]
+                    self.stack = _Stack([self.root])
                 else:
                     for i in range(len(self.stack) - 1, 1, -1):
                         if self.stack[i].tag == tag:
@@ -561,7 +733,6 @@ class _Builder:
         if self.foreign:
             for i in range(len(self.stack) - 1, 1, -1):
                 if self.stack[i].tag == tag:
-                    self.foreign -= sum(n.tag in ("svg", "math") for n in self.stack[i:])
                     del self.stack[i:]
                     return
                 if not self.stack[i].foreign:
@@ -633,12 +804,14 @@ class _Builder:
             furthest.append_child(new)
             k = next(j for j, x in enumerate(self.active) if x is mark)
             self.active[k] = new
-            self.stack = [n for n in self.stack if n is not mark]
+            self.stack = _Stack([n for n in self.stack if n is not mark])
             self.stack.insert(next(i for i, n in enumerate(self.stack) if n is furthest) + 1, new)
 
 
-def parse(page: str) -> Tree:
-    """The tree of a page; every page has html, head and body."""
+def parse(page: str | bytes) -> Tree:
+    """The tree of a page; every page has html, head and body.  Bytes are UTF-8, and what isn't becomes U+FFFD."""
+    if isinstance(page, bytes):
+        page = page.decode("utf-8", "replace")
     page = page.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "")
     b, at, n = _Builder(), 0, len(page)
     find = _TOKEN.search
@@ -782,22 +955,27 @@ def _nth(arg: str) -> Callable[[int], bool]:
     return lambda i: (i == off) if step == 0 else (i - off) * step >= 0 and (i - off) % step == 0
 
 
-def _siblings(n: Node, same: bool) -> list[Node]:
-    return [c for c in (n.parent.children if n.parent else [n]) if c.kind == ELEMENT and (not same or c.tag == n.tag)]
+def _place(n: Node, same: bool, back: bool) -> int:
+    """A node's number among the elements of its parent, or those of its tag, from the front or the back."""
+    if n.parent is None:
+        return 1
+    at = n.parent.order()[id(n)][1 + same]
+    return _count(n, same) - at + 1 if back else at
 
 
-def _place(n: Node, same: bool, back: bool) -> int:
-    found = _siblings(n, same)
-    return next(i for i, c in enumerate(reversed(found) if back else found) if c is n) + 1
+def _count(n: Node, same: bool) -> int:
+    if n.parent is None:
+        return 1
+    return n.parent.totals()[n.tag if same else ""]
 
 
 _SIMPLE: dict[str, Callable[[Node], bool]] = {
     "first-child": lambda n: _place(n, False, False) == 1,
     "last-child": lambda n: _place(n, False, True) == 1,
-    "only-child": lambda n: len(_siblings(n, False)) == 1,
+    "only-child": lambda n: _count(n, False) == 1,
     "first-of-type": lambda n: _place(n, True, False) == 1,
     "last-of-type": lambda n: _place(n, True, True) == 1,
-    "only-of-type": lambda n: len(_siblings(n, True)) == 1,
+    "only-of-type": lambda n: _count(n, True) == 1,
     "empty": lambda n: not any(c.kind == ELEMENT or (c.kind == TEXT and c.value) for c in n.children),
     "root": lambda n: n.parent is not None and n.parent.kind == DOCUMENT,
     "checked": lambda n: "checked" in n.attrs or "selected" in n.attrs,
