@@ -65,7 +65,7 @@ def test_solve_reaches_the_optimum_at_any_target():
         tokens = rng.integers(1, 5000, len(p)).astype(float)
         names, at = np.unique(cell, return_inverse=True)
         mass = np.stack([np.bincount(at, tokens * p[:, k]) for k in range(3)], axis=1)
-        rate = solve(names, mass.sum(axis=1), mass, np.array(goal))
+        rate = solve(names, mass.sum(axis=1), mass, np.array(goal), pull=1e-4)
         assert rate.min() >= 0 and kkt(mass.sum(axis=1), mass, np.array(goal), rate) < 1e-6
         if min(goal) > 0:
             assert np.abs(mass.T @ rate / tokens.sum() - goal).max() < 2e-3
@@ -75,7 +75,7 @@ def test_a_target_that_hardly_any_document_serves_leaves_the_others_alone():
     """Two cells of clean documents, one with a trace more of the missing domain: both keep their documents."""
     mass = np.array([[130.0, 0.2, 0.3], [0.24, 0.001, 0.001], [0.2, 0.01, 7.0]])
     rate = solve(np.array([0, 1, 65000]), mass.sum(axis=1), mass, 1.25 * np.array([0.96, 0.02, 0.02]))
-    assert 1 < rate[0] < 1.5 and 1 < rate[1] < 2 and rate[2] < 0.7
+    assert 1 < rate[0] < 1.4 and 1 < rate[1] < 1.4 and rate[2] < 0.7
 
 
 def test_rates_follow_from_the_posteriors_alone(spark):

@@ -16,7 +16,7 @@ order of tasks, and the iteration runs over the cells, at most 33,153 at any siz
 the projected gradient vanishes; there is no limit of steps.  The small pull towards 1 makes the solution unique and
 r = max(0, 1 - p.gap / pull), so documents of like posteriors have like rates: without it, a target that hardly any
 document serves is met by giving a few of them hundreds of copies and none to all others.  It costs a gap of about pull
-times the change of rates (1e-4 of the tokens for rates of 2).
+times the change of rates (1e-3 of the tokens for rates of 2).
 ``budget`` is the sum of the targets in units of the corpus's tokens.  Where the targets can't be met with rates of 0 or
 more, the result is the nearest mix.
 
@@ -198,7 +198,7 @@ def cells(scored: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return got.column("cell").to_numpy(), w.sum(axis=1), w
 
 
-def solve(cell: np.ndarray, tokens: np.ndarray, mass: np.ndarray, goal: np.ndarray, pull: float = 1e-4) -> np.ndarray:
+def solve(cell: np.ndarray, tokens: np.ndarray, mass: np.ndarray, goal: np.ndarray, pull: float = 1e-3) -> np.ndarray:
     """The rate of each cell, for expected totals of ``goal`` in units of all tokens; projected gradient with momentum and
     restarts, to stationarity.
     """
@@ -226,7 +226,7 @@ def solve(cell: np.ndarray, tokens: np.ndarray, mass: np.ndarray, goal: np.ndarr
     return rate
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, pull: float = 1e-4, texts: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, pull: float = 1e-3, texts: bool = True) -> DataFrame:
     """docs with tokens, p_clean, p_low, p_toxic, rate and copies; ``repeated`` makes the copies."""
     if budget <= 0 or pull <= 0 or min(targets.values()) < 0 or sum(targets.get(d, 0) for d in DOMAINS) <= 0:
         raise ValueError("budget and pull must be positive, targets not negative and their sum positive")
@@ -241,7 +241,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabul
     return rated.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, pull: float = 1e-4) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], vocabulary: str, budget: float = 1.0, sample_rows: int = 6_000, pull: float = 1e-3) -> DataFrame:
     """(doc_id, tokens, p_clean, p_low, p_toxic, rate, copies) of every row."""
     return mixed(docs.select("doc_id", "text"), labels, targets, vocabulary, budget, sample_rows, pull, texts=False)
 
