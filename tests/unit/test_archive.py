@@ -139,3 +139,161 @@ def test_bulk(spark):
     assert {r["_id"] for r in sent.collect()} == {None, "2"}
     with pytest.raises(ValueError):
         A.bulk_actions(docs, "i", op="nope")
+
+
+def junk(codec, tail=b""):
+    return A.dump(records(2), codec) + C.compress(b"junk\r\n", codec) + A.dump(records(2), codec) + tail
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_damaged_archives_end_or_raise(codec):
+    assert len(list(W.read_records(io.BytesIO(junk(codec)), codec))) == 7
+    assert len(list(W.read_records(io.BytesIO(junk(codec)), codec, strict=False))) == 14
+    with pytest.raises(C.StreamError):
+        list(W.read_records(io.BytesIO(junk(codec)), codec, invalid="error"))
+    whole = A.dump(records(4), codec)
+    assert len(list(W.read_records(io.BytesIO(whole), codec, invalid="error"))) == 13
+    with pytest.raises(C.StreamError):
+        list(W.read_records(io.BytesIO(whole[:-9]), codec, invalid="error"))
+    with pytest.raises(ValueError):
+        list(W.read_records(io.BytesIO(whole), codec, invalid="no"))
+
+
+@pytest.mark.parametrize("codec", [C.PLAIN, C.GZIP])
+def test_cut_off_headers_raise(codec):
+    data = C.compress(A.dump(records(1)) + b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Le", codec)
+    with pytest.raises(C.StreamError, match="cut off"):
+        list(W.read_records(io.BytesIO(data), codec, invalid="error"))
+    list(W.read_records(io.BytesIO(data), codec))
+
+
+@pytest.mark.parametrize("codec", CODECS)
+def test_over_long_records_keep_their_header(codec):
+    data = A.dump(records(), codec)
+    got = list(W.read_records(io.BytesIO(data), codec, max_content_length=500, keep_meta=True, parse_http=False))
+    want = list(W.read_records(io.BytesIO(data), codec, parse_http=False))
+    assert [(r.record_id, r.content_length) for r in got] == [(r.record_id, r.content_length) for r in want]
+    assert all(r.body == (w.body if w.content_length <= 500 else b"") for r, w in zip(got, want)) and {r.body == b"" for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("codec", [C.GZIP, C.ZSTD])
+@pytest.mark.parametrize("piece", [1, 700, 5000, 1 << 20])
+def test_one_member_for_a_whole_archive_streams(codec, piece, monkeypatch):
+    monkeypatch.setattr(W, "_PIECE", piece)
+    monkeypatch.setattr(C, "_CHUNK", 64)
+    plain = A.dump(records(), checksum=True)
+    data = C.compress(plain, codec)
+    got = list(W.read_records(io.BytesIO(data), codec, invalid="error"))
+    assert [r.record_id for r in got] == [r.record_id for r in W.read_records(io.BytesIO(plain))]
+    assert all(W.verify_block_digest(r) for r in got) and {r.stream_pos for r in got} == {0}
+    assert codec != C.GZIP or next(C.members(io.BytesIO(data), codec, 2000))[2] is None
+
+
+@pytest.mark.parametrize("codec", [C.PLAIN, C.GZIP])
+@pytest.mark.parametrize("single", [False, True])
+def test_reading_goes_on_after_errors(codec, single, tmp_path, monkeypatch):
+    if single and codec == C.PLAIN:
+        return
+    path = tmp_path / f"a.warc{C.SUFFIX[codec]}"
+    all_ = records()
+    data = A.dump(all_)
+    path.write_bytes(C.compress(data, codec) if single else A.dump(all_, codec))
+    fails = iter([3, 2, 4, 5, 10**9])
+    real = A.open_file
+
+    class Flaky(io.BytesIO):
+        def __init__(self, raw, after):
+            super().__init__(raw)
+            self.left = after
+
+        def _count(self):
+            self.left -= 1
+            if self.left < 0:
+                raise OSError("gone")
+
+        def read(self, *a):
+            self._count()
+            return super().read(*a)
+
+        def readinto(self, b):
+            self._count()
+            return super().readinto(b)
+
+    monkeypatch.setattr(C, "_CHUNK", 3000)
+    monkeypatch.setattr(A, "open_file", lambda p: Flaky(real(p).read(), next(fails)))
+    got = [r.record_id for r in A.records(str(path), retries=4, codec=codec)]
+    assert got == [r.record_id for r in W.read_records(io.BytesIO(data))]
+    fails = iter([0] * 9)
+    with pytest.raises(OSError):
+        list(A.records(str(path), retries=2, codec=codec))
+
+
+def test_digest_reasons():
+    good = W.digest(b"x", "sha256")
+    assert [W.digest_error(b"x", d) for d in (good, None, "", "sha1", "sha1:", "crc:AA", "md5:!", W.digest(b"y"))] == [None, "missing", "missing", "malformed", "malformed", "unknown algorithm", "bad encoding", "mismatch"]
+
+
+def test_bodies_that_cannot_be_decoded():
+    if C.brotli is None:
+        with pytest.raises(C.StreamError):
+            C.decode_content(b"x", ["br"])
+    r = W.new_record("response", b"not deflated", http=True)
+    r.http_status_line, r.http_headers = "HTTP/1.1 200 OK", [("Content-Encoding", "deflate")]
+    (got,) = W.read_records(io.BytesIO(A.dump([r])), auto_decode="all")
+    assert got.body is None
+    with pytest.raises(C.StreamError):
+        list(W.read_records(io.BytesIO(A.dump([r])), auto_decode="all", invalid="error"))
+
+
+def only_again(r):
+    return W.header(r.headers, "x-PAGE") == "again"
+
+
+def test_writers_on_one_path_and_further_options(spark, tmp_path):
+    A.register(spark)
+    path = str(tmp_path / "out")
+    rows = spark.range(40).selectExpr("'resource' as warc_type", "encode(cast(id as string), 'utf-8') as body")
+    rows.repartition(4).write.format("warc").mode("append").save(path)
+    other = tmp_path / "out" / "_tmp-of-another-job"
+    other.mkdir()
+    rows.repartition(2).write.format("warc").mode("append").save(path)
+    read = lambda **o: spark.read.format("warc").options(**o).load(path)
+    assert other.exists() and read().count() == 80 and read(shuffle_files="true", seed="3", retries="1").count() == 80
+    rows.limit(5).write.format("warc").mode("overwrite").save(path)
+    assert read(invalid_header="error").count() == 5
+    before = A.recompress(spark, path, str(tmp_path / "again"), "lz4")
+    assert A.recompress(spark, path, str(tmp_path / "again"), "lz4") == pytest.approx(before, abs=60) and before < 2000
+    (tmp_path / "f.warc").write_bytes(A.dump(records()))
+    got = spark.read.format("warc").option("func_filter", "tests.unit.test_archive:only_again").load(str(tmp_path / "f.warc"))
+    assert got.count() == 32
+
+
+def test_header_edits(spark):
+    row = spark.createDataFrame([([("A", "1"), ("b", "2"), ("a", "3")],)], "headers array<struct<key:string,value:string>>")
+    got = row.select(A.without_header("a").alias("x"), A.with_appended("n:ew", "v\r\nw ").alias("y"), A.has_header("B").alias("z"), A.header_map().alias("m")).first()
+    assert [tuple(h) for h in got.x] == [("b", "2")] and tuple(got.y[-1]) == ("new", "v w") and got.z and got.m == {"a": "3", "b": "2"}
+
+
+def test_ensure_index():
+    assert A.ensure_index(lambda name, settings: 200, "i") and not A.ensure_index(lambda name, settings: 400, "i")
+    with pytest.raises(RuntimeError):
+        A.ensure_index(lambda name, settings: 503, "i")
+
+
+def test_command_lines(spark, tmp_path, capsysbinary):
+    from webloom.cli import main
+
+    (tmp_path / "in").mkdir()
+    data = A.dump(records(), C.GZIP, checksum=True)
+    (tmp_path / "in" / "a.warc.gz").write_bytes(data)
+    source, out = str(tmp_path / "in"), lambda: capsysbinary.readouterr().out.decode()
+    assert main(["check", source], spark) == 0 and out().startswith("OK: 49, FAIL: 0, NO_DIGEST: 0")
+    assert main(["recompress", source, str(tmp_path / "lz4"), "--compression", "lz4"], spark) == 0 and out().endswith("bytes written\n")
+    assert main(["index", str(tmp_path / "lz4"), str(tmp_path / "cdxj"), "--fields", "offset,http:status"], spark) == 0
+    assert spark.read.text(str(tmp_path / "cdxj")).count() == 49
+    assert main(["benchmark", source, "--record-types", "response"], spark) == 0 and out().startswith("16 records in")
+    assert main(["extract", f"{source}/a.warc.gz", "0"]) == 0 and out().startswith("WARC/1.1\r\n") and main(["extract", f"{source}/a.warc.gz", str(len(data))]) == 1
+    assert main(["text", source, str(tmp_path / "text")], spark) == 0 and spark.read.parquet(str(tmp_path / "text")).count() == 16
+    bad = A.dump([W.new_record("resource", b"x", [("WARC-Block-Digest", "sha1:AAAA")])])
+    (tmp_path / "bad.warc").write_bytes(bad)
+    assert main(["check", str(tmp_path / "bad.warc"), "--bad", str(tmp_path / "bad")], spark) == 1 and spark.read.json(str(tmp_path / "bad")).count() == 1

@@ -170,38 +170,46 @@ def exc_loop(items: Iterable) -> Iterator[tuple[object, BaseException | None]]:
             yield None, e
 
 
-def retrying(open_at: Callable[[int], Iterator], position: Callable[[object], int], retry_count: int = 3) -> Iterator:
-    """Items of a stream that is opened again at the last item's position when reading fails; that item isn't repeated."""
-    last, failures, it = None, 0, open_at(0)
+def retrying(open_at: Callable[[int], Iterator], position: Callable[[object], int], retry_count: int = 3, start: int = 0) -> Iterator:
+    """Items of a stream that is opened again at the last item's position when reading fails.
+
+    Items that were given aren't repeated, also where several share a position.
+    """
+    last, seen, failures, it, skip = start, 0, 0, None, 0
     while True:
         try:
+            if it is None:
+                it, skip = open_at(last), seen
             item = next(it)
+            at = position(item)
+            if skip and at == last:
+                skip -= 1
+                continue
         except StopIteration:
             return
         except Exception:  # noqa: BLE001 - any read error counts
             failures += 1
             if failures > retry_count:
                 raise
-            it = open_at(0 if last is None else last)
-            if last is not None:
-                with contextlib.suppress(StopIteration):
-                    next(it)
+            it = None
             continue
-        failures = 0
-        last = position(item)
+        failures, skip = 0, 0
+        last, seen = at, seen + 1 if at == last else 1
         yield item
 
 
-def guarded(f: Callable, value_type: str | T.DataType, timeout: float | None = None) -> Callable[..., Column]:
-    """A column function from a plain one: struct(value, error), with a time limit for each row."""
+def guarded(f: Callable, value_type: str | T.DataType, timeout: float | None = None, max_memory: int | None = None) -> Callable[..., Column]:
+    """A column function from a plain one: struct(value, error), with limits of seconds and KiB of growth for each row."""
     kind = T._parse_datatype_string(value_type) if isinstance(value_type, str) else value_type
     result = T.StructType([T.StructField("value", kind), T.StructField("error", T.StringType())])
 
     def one(args: tuple) -> dict:
         try:
-            if timeout is None:
-                return {"value": f(*args), "error": None}
-            with time_guard(timeout, interrupt_type=InterruptType.exception, check_interval=50):
+            with contextlib.ExitStack() as limits:
+                if timeout is not None:
+                    limits.enter_context(time_guard(timeout, interrupt_type=InterruptType.exception, check_interval=50))
+                if max_memory is not None:
+                    limits.enter_context(mem_guard(max_memory, absolute=False, interrupt_type=InterruptType.exception, check_interval=50))
                 return {"value": f(*args), "error": None}
         except (Exception, ExecutionTimeout, MemoryLimitExceeded) as e:  # noqa: BLE001
             return {"value": None, "error": f"{type(e).__name__}: {e}".rstrip(": ")}

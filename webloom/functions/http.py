@@ -62,9 +62,19 @@ def http_chunks(body: str | Column) -> Column:
 
 
 def decode_content(body: str | Column, content: str | Column, transfer: str | Column = "") -> Column:
-    """Undoes the codings that Content-Encoding and Transfer-Encoding name; literal strings are header values."""
+    """Undoes the codings that Content-Encoding and Transfer-Encoding name; literal strings are header values.
+
+    A body that isn't what they say, or br without its module, gives null.
+    """
     heads = [F.lit(x) if isinstance(x, str) else x for x in (content, transfer)]
-    return _each(lambda b, c, t: C.decode_content(b, [x for v in (c, t) for x in (v or "").split(",") if x.strip()]), "binary", pa.binary())(_col(body), *heads)
+
+    def decoded(b: bytes, c: str | None, t: str | None) -> bytes | None:
+        try:
+            return C.decode_content(b, [x for v in (c, t) for x in (v or "").split(",") if x.strip()])
+        except C.StreamError:
+            return None
+
+    return _each(decoded, "binary", pa.binary())(_col(body), *heads)
 
 
 def digest(body: str | Column, algorithm: str = "sha1") -> Column:

@@ -357,6 +357,45 @@ def cdxj_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.join(pages, ["filename", "stream_pos"]).select(F.col("first").cast("long").alias("page_id"), fits("filename", "stream_pos", "length", "first").alias("fits"))
 
 
+@_query("SELECT page_id, n AS content_length, CASE WHEN n <= 3000 THEN n ELSE 0 END AS body_length FROM (SELECT page_id, octet_length(encode(html)) + 112 AS n FROM pages)")
+def warc_keep_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over-long records stay without their body; lengths before HTTP parsing."""
+    r = _read(spark, _written_archive(spark, sf_dir), parse_http="false", record_types="response", max_content_length="3000", always_keep_meta="true", shuffle_files="true")
+    return r.select(A.header_value("X-Page").cast("long").alias("page_id"), "content_length", F.octet_length("body").cast("long").alias("body_length"))
+
+
+@_query("SELECT page_id, md5(html) AS h, 'OK' AS block, 'OK' AS payload FROM pages")
+def warc_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and digests of an archive that was written as gzip and again as Zstandard."""
+    source, target = _written_archive(spark, sf_dir, checksum=True), shared_dir(spark)
+    A.recompress(spark, source, target, "zstd")
+    raw = _read(spark, target, parse_http="false", record_types="response", invalid_header="error", retries="2").select("record_id", A.digest_status("body", A.header_value("WARC-Block-Digest")).alias("block"))
+    parsed = _read(spark, target, record_types="response")
+    state = A.digest_status("body", A.header_value("WARC-Payload-Digest")).alias("payload")
+    return parsed.select("record_id", A.header_value("X-Page").cast("long").alias("page_id"), _hash("body").alias("h"), state).join(raw, "record_id").drop("record_id")
+
+
+@_query("SELECT page_id, ['mismatch', 'missing', 'malformed', 'unknown algorithm', 'bad encoding', NULL][page_id % 6 + 1] AS reason FROM pages")
+def digest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("page_id") % 6
+    given = F.when(kind == 0, P.digest(F.concat("html", F.lit("x")))).when(kind == 2, "sha1").when(kind == 3, "crc32:AAAA").when(kind == 4, "md5:?").when(kind == 5, P.digest("html", "sha512"))
+    return _pages(spark, sf_dir).select("page_id", A.digest_reason("html", given).alias("reason"))
+
+
+@_query("SELECT page_id, 'host: h|x-page: ' || page_id || '|url: ' || url AS put, 'host: h|a b: 1 2|url: ' || url AS edited, page_id % 2 = 0 AS has, page_id::VARCHAR AS last FROM pages")
+def header_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers set, removed, appended with clean-up, tested and mapped, natively."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    url, page = pair("url", F.col("url")), F.col("page_id").cast("string")
+    rows = _pages(spark, sf_dir).withColumn("hs", F.array(pair("host", F.lit("h")), pair("x-page", F.lit("old")), url))
+    shown = lambda hs: F.array_join(F.transform(hs, lambda h: F.concat(h["key"], F.lit(": "), h["value"])), "|")
+    short = F.filter("hs", lambda h: h["key"] != "url")
+    edited = F.concat(A.with_appended(F.lit("a: b"), F.lit("1\r\n2"), A.without_header("X-PAGE", short)), F.array(url))
+    odd = F.when(F.col("page_id") % 2 == 0, F.col("hs")).otherwise(A.without_header("x-page", "hs"))
+    last = A.header_map(A.with_appended("X-Page", page, "hs"))["x-page"]
+    return rows.select("page_id", shown(A.with_header("X-Page", page, "hs")).alias("put"), shown(edited).alias("edited"), A.has_header("X-page", odd).alias("has"), last.alias("last"))
+
+
 # HTML
 
 _ENTITIES = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
@@ -407,12 +446,44 @@ def extract_plain_text_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", _hash(extract_plain_text("html", preserve_formatting=False)).alias("h"))
 
 
-@_query()
+def _steps(text: str, *rules: tuple[str, str]) -> str:
+    """SQL that applies (pattern, SQL of the replacement) one after another."""
+    for pattern, to in rules:
+        text = f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    return text
+
+
+_NL, _GAP = "chr(10)", "chr(2)"
+_BODY = _steps("regexp_replace(html, '(?s)^.*?<body>', '')", ("(?s)<!--.*?-->", "''"), ("[ \\t\\n\\x0B\\f\\r]+", "' '"))
+_GAPS = (("\\n*\\x02[\\n\\x02]*", _GAP), ("\\n+", _NL))
+
+
+def _layout(apart: str, bullet: str) -> str:
+    """SQL of a page's text with blocks on lines of their own and an empty line round the tags ``apart``."""
+    lines = _steps(
+        _BODY, ("</?(a|b)( [^>]*)?>", "''"), (" ?<br> ?</article> ?", _GAP), (" ?<br> ?", _NL), (f" ?</?({apart})> ?", _GAP), (" ?<li> ?", f"{_NL} || chr(1)"),
+        (" ?</?(div|article|footer|ul|li|nav|h1|body|html)( [^>]*)?> ?", _NL), *_GAPS,
+    )
+    return "trim(" + _ENTITIES.format(f"replace(replace({lines}, {_GAP}, {_NL} || {_NL}), chr(1), '{bullet}')") + f", {_NL})"
+
+
+def _minimal() -> str:
+    """SQL of a page's paragraphs, headings and lists as HTML, with links."""
+    out = _steps(_BODY, ("</?b>", "''"), (" ?<br> ?</article> ?", "'<br></p>'"), (" ?<br> ?<p> ?", "'<br></p><p>'"), (" ?</?(div|article|footer|nav|body|html)( [^>]*)?> ?", _NL))
+    for tag, to in (("<p>", f"{_GAP} || '<p>'"), ("</p>", f"'</p>' || {_GAP}"), ("<h1>", f"{_GAP} || '<h1>'"), ("</h1>", f"'</h1>' || {_GAP}"), ("<ul>", f"{_NL} || '<ul>' || {_NL}"), ("</ul>", f"{_NL} || '</ul>' || {_NL}"), ("<li>", f"{_NL} || '  <li>'")):
+        out = f"replace({out}, '{tag}', {to})"
+    out = _steps(out, *_GAPS)
+    for mark, to in ((_GAP, f"{_NL} || {_NL}"), ("'&copy;'", "'©'"), ("'&middot;'", "'·'")):
+        out = f"replace({out}, {mark}, {to})"
+    return f"trim({out}, {_NL})"
+
+
+@_query(f"SELECT page_id, {_layout('p|h1', '  • ')} AS text FROM pages")
 def extract_plain_text_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", extract_plain_text("html").alias("text"))
 
 
-@_query()
+@_query(f"SELECT page_id, {_minimal()} AS text FROM pages")
 def extract_plain_text_minimal_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", extract_plain_text("html", preserve_formatting="minimal_html", links=True).alias("text"))
 
@@ -420,7 +491,10 @@ def extract_plain_text_minimal_html(spark: SparkSession, sf_dir: str) -> DataFra
 _MAIN = "regexp_replace(regexp_replace(html, '(?s)<nav>.*?</nav>', ' ', 'g'), '(?s)<footer>.*', ' ')"
 
 
-@_query("SELECT page_id, md5(trim(regexp_replace(" + _ENTITIES.format(_FLAT.replace("(html,", f"({_MAIN},", 1)) + ", '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS h FROM pages")
+_MAIN_TEXT = "trim(regexp_replace(" + _ENTITIES.format(_FLAT.replace("(html,", f"({_MAIN},", 1)) + ", '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@_query(f"SELECT page_id, md5({_MAIN_TEXT}) AS h FROM pages")
 def extract_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", _hash(extract_plain_text("html", main_content=True, preserve_formatting=False)).alias("h"))
 
@@ -442,12 +516,15 @@ def extract_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@_query()
+@_query(f"SELECT page_id, {_layout('p', '')} AS text FROM pages")
 def html_inner_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", H.html_inner_text("html").alias("text"))
 
 
-@_query()
+@_query(
+    f"""WITH documents AS (SELECT doc_id, text, lang FROM main.documents UNION ALL SELECT -1 - page_id, {_MAIN_TEXT}, NULL FROM pages), {_RANKS}
+    SELECT predicted AS lang, count(*) AS pages, sum(length(text))::BIGINT AS chars FROM guess JOIN documents USING (doc_id) WHERE doc_id < 0 GROUP BY 1"""
+)
 def page_language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by detected language of their main content."""
     text = extract_plain_text("html", main_content=True, preserve_formatting=False)

@@ -9,13 +9,20 @@ records stream through it in Arrow batches.  The options record_types, min_conte
 max_content_length make the reader skip bodies without parsing them; with pushdown=true it takes
 such filters from the query, which suits a DataFrame that is used once: Spark keeps a reader's
 filters for all later uses of the same DataFrame.
+
+Further options: always_keep_meta (records over max_content_length stay, with an empty body), invalid_header (eof, or
+error for damaged archives in strict mode), retries (how often in a row a file is opened again behind the last
+record after a read error), shuffle_files and seed (tasks in a random order), func_filter (module:function, which gets a
+record's headers).
 """
 
 from __future__ import annotations
 
 import fnmatch
+import importlib
 import io
 import posixpath
+import random
 import re
 import sys
 import uuid
@@ -30,6 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual, WriterCommitMessage
 
+from webloom.functions import guards as G
+from webloom.functions.guards import retrying
 from webloom.session import prepare
 from webloom.sources import codecs as C
 from webloom.sources import warc as W
@@ -55,21 +64,26 @@ _ARROW = pa.schema(
 _BATCH_ROWS, _BATCH_BYTES = 1000, 16 << 20
 
 
-def row_of(r: W.Record) -> dict:
-    pairs = lambda hs: None if hs is None else [{"key": k, "value": v} for k, v in hs]
-    http = r.http_headers
-    return {
-        "filename": r.filename, "stream_pos": r.stream_pos, "warc_version": r.version, "record_id": r.record_id, "warc_type": r.warc_type, "warc_date": r.date, "headers": pairs(r.headers),
-        "content_length": r.content_length, "is_http": r.is_http, "http_status_line": r.http_status_line, "http_status": W.status_code(r.http_status_line), "http_reason": W.reason_phrase(r.http_status_line),
-        "http_headers": pairs(http), "http_content_type": W.content_type(http) if http is not None else None, "http_charset": W.charset(http) if http is not None else None,
-        "http_date": W.http_date(W.header(http, "Date")) if http is not None else None, "http_last_modified": W.http_date(W.header(http, "Last-Modified")) if http is not None else None, "body": r.body,
-    }
+def row_of(r: W.Record) -> tuple:
+    """A record's values in the order of the columns."""
+    http, line = r.http_headers, r.http_status_line
+    head = (r.filename, r.stream_pos, r.version, r.record_id, r.warc_type, r.date, r.headers, r.content_length, r.is_http, line, W.status_code(line), W.reason_phrase(line))
+    if http is None:
+        return (*head, None, None, None, None, None, r.body)
+    dates = [W.http_date(W.header(http, n)) for n in ("Date", "Last-Modified")]
+    return (*head, http, W.content_type(http), W.charset(http), *dates, r.body)
 
 
 def _flag(options: dict, name: str, default: bool) -> bool:
     return str(options.get(name, default)).lower() in ("true", "1", "yes")
 
 
+def _named(path: str):
+    """The function that "module:function" names."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def reader_options(options: dict) -> dict:
     """Keyword arguments of ``read_records`` from string options."""
     low = {k.lower(): v for k, v in options.items()}
@@ -79,6 +93,8 @@ def reader_options(options: dict) -> dict:
         "record_types": [t.strip() for t in low["record_types"].split(",")] if low.get("record_types") else None,
         "parse_http": _flag(low, "parse_http", True), "min_content_length": number("min_content_length"), "max_content_length": number("max_content_length"),
         "verify_digests": _flag(low, "verify_digests", False), "strict": _flag(low, "strict", True), "auto_decode": low.get("auto_decode", "none"), "with_body": _flag(low, "body", True),
+        "keep_meta": _flag(low, "always_keep_meta", False), "invalid": low.get("invalid_header", "eof"), "retries": number("retries") or 0,
+        "func_filter": _named(low["func_filter"]) if low.get("func_filter") else None,
     }
 
 
@@ -118,21 +134,34 @@ def splits(files: list[tuple[str, int]], size: int, codec: str = C.AUTO) -> list
     return out
 
 
+def records(path: str, start: int = 0, end: int | None = None, retries: int = 0, **options) -> Iterator[W.Record]:
+    """The records of a task; after a read error the file is opened again behind the last record, up to ``retries`` times in a row."""
+
+    def open_at(pos: int) -> Iterator[W.Record]:
+        with open_file(path) as f:
+            yield from W.read_records(f if isinstance(f, io.BufferedReader) else io.BufferedReader(f, 1 << 16), start=pos, end=end, **options)
+
+    return retrying(open_at, lambda r: r.stream_pos, retries, start) if retries else open_at(start)
+
+
 def batches(path: str, start: int, end: int | None, **options) -> Iterator[pa.RecordBatch]:
     """The records of one task as Arrow batches of bounded size."""
     if options.get("codec", C.AUTO) == C.AUTO:
         options["codec"] = C.codec_of_name(path)
     rows, size = [], 0
-    with open_file(path) as f:
-        for r in W.read_records(io.BufferedReader(f, 1 << 16) if not isinstance(f, io.BufferedReader) else f, start=start, end=end, **options):
-            r.filename = path
-            rows.append(row_of(r))
-            size += len(r.body or b"") + 500
-            if len(rows) >= _BATCH_ROWS or size >= _BATCH_BYTES:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                rows, size = [], 0
+    for r in records(path, start, end, **options):
+        r.filename = path
+        rows.append(row_of(r))
+        size += len(r.body or b"") + 500
+        if len(rows) >= _BATCH_ROWS or size >= _BATCH_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
 @dataclass
@@ -148,7 +177,10 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         files = [f for p in self.options["path"].split(",") for f in list_files(p.strip())]
-        return [_Range(*s) for s in splits(files, int(self.options.get("split_bytes", 128 << 20)), self.args["codec"])] or [_Range("", 0, 0)]
+        found = [_Range(*s) for s in splits(files, int(self.options.get("split_bytes", 128 << 20)), self.args["codec"])] or [_Range("", 0, 0)]
+        if _flag(self.options, "shuffle_files", False):
+            random.Random(int(self.options.get("seed", 0))).shuffle(found)
+        return found
 
     def read(self, partition):
         if partition.path:
@@ -190,6 +222,7 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.codec = options["path"], options.get("compression", C.GZIP)
         self.checksum, self.overwrite = _flag(options, "checksum", False), overwrite
+        self.tmp = f"_tmp-{uuid.uuid4().hex}"  # of this job; others may write to the same path meanwhile
 
     def _fs(self):
         return pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", self.path)) if re.match(r"\w+:", self.path) else (pa.fs.LocalFileSystem(), self.path)
@@ -197,9 +230,9 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator):
         fs, base = self._fs()
         name = f"part-{uuid.uuid4().hex}.warc{C.SUFFIX[self.codec]}"
-        fs.create_dir(f"{base}/_tmp", recursive=True)
+        fs.create_dir(f"{base}/{self.tmp}", recursive=True)
         n = 0
-        with fs.open_output_stream(f"{base}/_tmp/{name}", compression=None) as out:
+        with fs.open_output_stream(f"{base}/{self.tmp}/{name}", compression=None) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
                     out.write(C.compress(W.serialise(record_from(row), self.checksum), self.codec))
@@ -208,19 +241,18 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, base = self._fs()
-        if self.overwrite:
-            for f in fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True)):
-                if f.type == pa.fs.FileType.File:
-                    fs.delete_file(f.path)
+        old = [f.path for f in fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True)) if f.type == pa.fs.FileType.File] if self.overwrite else []
         for m in messages:
             for name in m.files if m else []:
-                fs.move(f"{base}/_tmp/{name}", f"{base}/{name}")
+                fs.move(f"{base}/{self.tmp}/{name}", f"{base}/{name}")
+        for path in old:  # only once the new files are in place
+            fs.delete_file(path)
         self.abort(messages)
 
     def abort(self, messages):
         fs, base = self._fs()
-        if fs.get_file_info(f"{base}/_tmp").type == pa.fs.FileType.Directory:
-            fs.delete_dir(f"{base}/_tmp")
+        if fs.get_file_info(f"{base}/{self.tmp}").type == pa.fs.FileType.Directory:
+            fs.delete_dir(f"{base}/{self.tmp}")
 
 
 class WarcDataSource(DataSource):
@@ -241,7 +273,7 @@ class WarcDataSource(DataSource):
 def register(spark: SparkSession) -> SparkSession:
     """Makes ``warc`` a format of the session, with filters pushed down."""
     # planning runs in workers that don't get the session's Python path, so these modules travel with the source
-    for module in (sys.modules[__name__], C, W):
+    for module in (sys.modules[__name__], C, W, G):
         cloudpickle.register_pickle_by_value(module)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
@@ -285,15 +317,52 @@ def with_header(name: str, value: str | Column, headers: str | Column = "headers
     return F.when(at > 0, put).otherwise(F.concat(col, F.array(new)))
 
 
+def with_appended(name: str | Column, value: str | Column, headers: str | Column = "headers") -> Column:
+    """The headers with one more at the end; line breaks become spaces and a name loses its colons."""
+    col = F.col(headers) if isinstance(headers, str) else headers
+    key, val = (F.lit(x) if isinstance(x, str) else x for x in (name, value))
+    one_line = lambda c: F.trim(F.regexp_replace(c, r"[\r\n]+", " "))
+    return F.concat(col, F.array(F.struct(one_line(F.replace(key, F.lit(":"))).alias("key"), one_line(val).alias("value"))))
+
+
+def without_header(name: str, headers: str | Column = "headers") -> Column:
+    """The headers without all of that name."""
+    col = F.col(headers) if isinstance(headers, str) else headers
+    return F.filter(col, lambda h: F.lower(h["key"]) != name.lower())
+
+
+def has_header(name: str, headers: str | Column = "headers") -> Column:
+    return F.exists(F.col(headers) if isinstance(headers, str) else headers, lambda h: F.lower(h["key"]) == name.lower())
+
+
+def header_map(headers: str | Column = "headers") -> Column:
+    """A map from lower-case names to their last values."""
+    col = F.col(headers) if isinstance(headers, str) else headers
+    low = F.transform(col, lambda h: F.struct(F.lower(h["key"]).alias("key"), h["value"].alias("value")))
+    last = F.filter(low, lambda h, i: ~F.exists(F.slice(low, i + 2, F.size(low)), lambda x: x["key"] == h["key"]))
+    return F.map_from_entries(last)
+
+
+def _checked(test, kind: str, arrow: pa.DataType, body: str | Column, digest: str | Column) -> tuple[Column, Column]:
+    """(the test of each body and digest, the digest)."""
+
+    @F.arrow_udf(kind)
+    def run(bodies: pa.Array, digests: pa.Array) -> pa.Array:
+        return pa.array([test(b or b"", d) for b, d in zip(bodies.to_pylist(), digests.to_pylist(), strict=True)], arrow)
+
+    b, d = (F.col(x) if isinstance(x, str) else x for x in (body, digest))
+    return run(b.cast("binary"), d), d
+
+
 def digest_status(body: str | Column, digest: str | Column) -> Column:
     """OK, FAIL or NO_DIGEST of a body against "algorithm:value"."""
+    fine, d = _checked(lambda b, d: bool(d) and W.verify_digest(b, d), "boolean", pa.bool_(), body, digest)
+    return F.when(F.coalesce(d, F.lit("")) == "", "NO_DIGEST").when(fine, "OK").otherwise("FAIL")
 
-    @F.arrow_udf("boolean")
-    def fine(bodies: pa.Array, digests: pa.Array) -> pa.Array:
-        return pa.array([bool(d) and W.verify_digest(b or b"", d) for b, d in zip(bodies.to_pylist(), digests.to_pylist(), strict=True)], pa.bool_())
 
-    b, d = (F.col(x) if isinstance(x, str) else x for x in (body, digest))
-    return F.when(F.coalesce(d, F.lit("")) == "", "NO_DIGEST").when(fine(b.cast("binary"), d), "OK").otherwise("FAIL")
+def digest_reason(body: str | Column, digest: str | Column) -> Column:
+    """Why a digest doesn't hold: missing, malformed, unknown algorithm, bad encoding or mismatch; null if it does."""
+    return _checked(W.digest_error, "string", pa.string(), body, digest)[0]
 
 
 def verify(records: DataFrame, payload: bool = False) -> DataFrame:
@@ -336,11 +405,12 @@ def record_at(path: str, offset: int, **options) -> W.Record | None:
 
 
 def recompress(spark: SparkSession, source: str, target: str, compression: str = C.GZIP, **options) -> int:
-    """Writes archives again with another codec; returns the bytes written."""
+    """Writes archives again with another codec; returns the bytes written, not counting files that were there before."""
     register(spark)
+    before = {path for path, _ in list_files(target)}
     rows = spark.read.format("warc").options(parse_http="false", **options).load(source)
     rows.write.format("warc").option("compression", compression).mode("append").save(target)
-    return sum(size for _, size in list_files(target))
+    return sum(size for path, size in list_files(target) if path not in before)
 
 
 def bulk_actions(docs: DataFrame, index_name: str, id_col: str = "_id", op: str = "index") -> DataFrame:
@@ -358,6 +428,14 @@ def bulk_actions(docs: DataFrame, index_name: str, id_col: str = "_id", op: str
     return docs.sortWithinPartitions(id_col).select(F.col(id_col).cast("string").alias("_id"), F.to_json(F.struct(meta.alias(op))).alias("action"), body.alias("source"))
 
 
+def ensure_index(create, index_name: str, settings: dict | None = None) -> bool:
+    """Creates an index by ``create(name, settings)``; false if the endpoint says 400, as it does for one that exists."""
+    status = create(index_name, settings or {})
+    if status >= 300 and status != 400:
+        raise RuntimeError(f"the endpoint refused the index: {status}")
+    return status < 300
+
+
 def send_bulk(actions: DataFrame, send, dry_run: bool = False, ignore_400: bool = True, initial_backoff: float = 2, max_backoff: float = 600, max_retries: int = 10, chunk: int = 800) -> DataFrame:
     """Ids that a bulk endpoint took: ``send`` gets the lines of a chunk and returns a status for each action.
 

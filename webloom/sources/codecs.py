@@ -16,7 +16,7 @@ import pyarrow as pa
 
 try:
     import brotli
-except ImportError:  # an optional codec; without it such bodies stay as they are
+except ImportError:  # an optional codec; without it such bodies can't be decoded, which is an error or a null
     brotli = None
 
 GZIP, LZ4, ZSTD, PLAIN, AUTO = "gzip", "lz4", "zstd", "uncompressed", "auto"
@@ -49,20 +49,27 @@ def codec_of_bytes(head: bytes) -> str:
     raise StreamError("not a valid archive stream")
 
 
-def _gzip_members(f: io.BufferedIOBase) -> Iterator[tuple[int, bytes, bool]]:
+def _members(f: io.BufferedIOBase, codec: str, piece: int | None) -> Iterator[tuple[int, bytes, bool | None]]:
+    """Members of a gzip or frames of a Zstandard file; with ``piece``, longer ones in parts, all but the last with None."""
+    if codec == GZIP:
+        fresh, broken, padding = lambda: zlib.decompressobj(31), zlib.error, True
+    else:
+        import zstandard
+
+        fresh, broken, padding = lambda: zstandard.ZstdDecompressor().decompressobj(), zstandard.ZstdError, False
     at, rest = 0, b""
     while True:
         rest = rest or f.read(_CHUNK)
-        while rest[:1] == b"\0":  # padding between members
-            rest, at = rest[1:], at + 1
-            rest = rest or f.read(_CHUNK)
+        while padding and rest[:1] == b"\0":  # padding between members
+            kept = rest.lstrip(b"\0")
+            at, rest = at + len(rest) - len(kept), kept or f.read(_CHUNK)
         if not rest:
             return
-        start, d, out = at, zlib.decompressobj(31), []
+        start, d, out, size = at, fresh(), [], 0
         while True:
             try:
                 out.append(d.decompress(rest))
-            except zlib.error:
+            except broken:
                 yield start, b"".join(out), False
                 return
             at += len(rest) - len(d.unused_data)
@@ -70,6 +77,10 @@ def _gzip_members(f: io.BufferedIOBase) -> Iterator[tuple[int, bytes, bool]]:
             if d.eof:
                 yield start, b"".join(out), True
                 break
+            size += len(out[-1])
+            if piece is not None and size >= piece:
+                yield start, b"".join(out), None
+                out, size = [], 0
             rest = f.read(_CHUNK)
             if not rest:
                 yield start, b"".join(out), False
@@ -98,23 +109,7 @@ def _lz4_frame_end(data: bytes, at: int) -> int:
         at += (size & 0x7FFFFFFF) + 4 * bool(flags & 16)
 
 
-def _frames(f: io.BufferedIOBase, codec: str) -> Iterator[tuple[int, bytes, bool]]:
-    if codec == ZSTD:
-        import zstandard
-
-        data, at = f.read(), 0
-        while at < len(data):
-            d = zstandard.ZstdDecompressor().decompressobj()
-            try:
-                out = d.decompress(data[at:])
-            except zstandard.ZstdError:
-                yield at, b"", False
-                return
-            yield at, out, d.eof
-            if not d.eof:
-                return
-            at = len(data) - len(d.unused_data)
-        return
+def _lz4_frames(f: io.BufferedIOBase) -> Iterator[tuple[int, bytes, bool]]:
     data, base, start = b"", 0, 0
     while True:
         more = f.read(_CHUNK)
@@ -133,9 +128,13 @@ def _frames(f: io.BufferedIOBase, codec: str) -> Iterator[tuple[int, bytes, bool
             return
 
 
-def members(f: io.BufferedIOBase, codec: str) -> Iterator[tuple[int, bytes, bool]]:
-    """(position in the file, decompressed bytes, whether it is whole) of each member of a compressed file."""
-    return _gzip_members(f) if codec == GZIP else _frames(f, codec)
+def members(f: io.BufferedIOBase, codec: str, piece: int | None = None) -> Iterator[tuple[int, bytes, bool | None]]:
+    """(position in the file, decompressed bytes, whether it is whole) of each member of a compressed file.
+
+    With ``piece``, a gzip member or Zstandard frame comes in parts of about that size, all but its last with None, so
+    that a file of one member doesn't have to fit in memory.
+    """
+    return _lz4_frames(f) if codec == LZ4 else _members(f, codec, piece)
 
 
 def compress(data: bytes, codec: str, level: int = 6) -> bytes:
@@ -165,12 +164,14 @@ def inflate(data: bytes) -> bytes:
 
 
 def decode_content(data: bytes, codings: list[str]) -> bytes:
-    """Undoes content codings, last one first: gzip, x-gzip, deflate, br, identity."""
+    """Undoes content codings, last one first: gzip, x-gzip, deflate, br; names of no coding are passed over."""
     for coding in reversed([c.strip().lower() for c in codings]):
         if coding in ("gzip", "x-gzip"):
-            data = b"".join(x for _, x, _ in _gzip_members(io.BytesIO(data)))
+            data = b"".join(x for _, x, _ in _members(io.BytesIO(data), GZIP, None))
         elif coding == "deflate":
             data = inflate(data)
-        elif coding == "br" and brotli is not None:
+        elif coding == "br":
+            if brotli is None:
+                raise StreamError("a br body, and no brotli module")
             data = brotli.decompress(data)
     return data

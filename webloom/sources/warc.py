@@ -20,6 +20,8 @@ from webloom.sources.codecs import PLAIN
 TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation", "unknown")
 _WS = b" \t\n\v\f\r"
 _LONGEST = 8192
+#: Decompressed bytes of a member that are held at once; a longer record is held whole.
+_PIECE = 32 << 20
 
 Headers = list[tuple[str, str]]
 
@@ -35,6 +37,7 @@ class Record:
     http_headers: Headers | None = None
     http_block: bytes = b""
     filename: str = ""
+    complete: bool = True
 
     @property
     def warc_type(self) -> str:
@@ -148,7 +151,8 @@ def _scan(data: bytes, base: int, strict: bool, compressed: bool, fixed: bool) -
         size = _length(headers)
         if size is None:
             size = len(data) - at if compressed and not strict else 0
-        yield Record(base if fixed else base + start, line.decode(), headers, size), at, at + size
+        complete = at < len(data) or data[at - 4 : at].endswith((b"\n\r\n", b"\n\n"))
+        yield Record(base if fixed else base + start, line.decode(), headers, size, complete=complete), at, at + size
         at += size
 
 
@@ -173,14 +177,21 @@ def read_records(
     strict: bool = True,
     auto_decode: str = "none",
     with_body: bool = True,
+    keep_meta: bool = False,
+    invalid: str = "eof",
     start: int = 0,
     end: int | None = None,
 ) -> Iterator[Record]:
     """The records of a file that start in [start, end), filtered by their headers before anything is parsed.
 
     In strict mode, lines end in CRLF and anything that isn't a record ends the file; otherwise bare
-    LF is allowed and junk is skipped.
+    LF is allowed and junk is skipped.  With ``invalid`` "error", what would end a file in strict mode is an error instead:
+    junk, a header that the file's end cuts off, a body shorter than its length, a damaged or cut-off member.
+    With ``keep_meta``, records longer than the limit stay, with an empty body and their length.
     """
+    if invalid not in ("eof", "error"):
+        raise ValueError("invalid must be eof or error")
+    severe = strict and invalid == "error"
     if codec == C.AUTO:
         head = f.read(8)
         f.seek(0)
@@ -192,18 +203,32 @@ def read_records(
     def fine(r: Record) -> bool:
         if wanted is not None and r.warc_type not in wanted:
             return False
-        if (max_content_length is not None and r.content_length > max_content_length) or (min_content_length is not None and r.content_length < min_content_length):
+        if (long(r) and not keep_meta) or (min_content_length is not None and r.content_length < min_content_length):
             return False
         return func_filter is None or bool(func_filter(r))
 
-    def finish(r: Record, body: bytes) -> Record | None:
+    def long(r: Record) -> bool:
+        return max_content_length is not None and r.content_length > max_content_length
+
+    def finish(r: Record, body: bytes | None) -> Record | None:
+        """The record with its body; without one for a record that is kept for its header."""
+        if body is None:
+            r.body = b""
+            return r
+        if severe and len(body) < r.content_length:
+            raise C.StreamError(f"the record at {r.stream_pos} is cut off")
         r.body = body
         if verify_digests and not verify_block_digest(r):
             return None
         if parse_http:
             split_http(r, strict)
             if auto_decode != "none" and r.http_headers is not None:
-                r.body = C.decode_content(r.body, codings(r.http_headers, auto_decode))
+                try:
+                    r.body = C.decode_content(r.body, codings(r.http_headers, auto_decode))
+                except C.StreamError:
+                    if severe:
+                        raise
+                    r.body = None  # a body that can't be decoded isn't passed off as a decoded one
         if not with_body:
             r.body = None
         return r
@@ -211,21 +236,36 @@ def read_records(
     if codec != PLAIN:
         if start:
             f.seek(start)
-        for pos, data, _ in C.members(f, codec):
+        data, held, found = b"", None, False
+        for pos, piece, whole in C.members(f, codec, _PIECE):
             if end is not None and start + pos >= end:
                 return
-            first = True
+            if held == pos:
+                data += piece
+            else:
+                data, found = piece, False
+            held = pos
+            used, more = 0, False
             for r, a, z in _scan(data, start + pos, strict, True, True):
-                first = False
-                if fine(r) and (r := finish(r, data[a:z])) is not None:
+                if whole is None and z >= len(data):  # the rest comes with the next piece
+                    more = True
+                    break
+                found, used = True, z
+                if severe and not r.complete:
+                    raise C.StreamError(f"the header at {start + pos} is cut off")
+                if fine(r) and (r := finish(r, None if long(r) else data[a:z])) is not None:
                     yield r
-            if first and strict and data.strip(_WS):
+            data = data[used:]
+            junk = bool(data.strip(_WS)) and (whole is not None or (not more and len(data) > 2 * _LONGEST))
+            if severe and (junk or whole is False):
+                raise C.StreamError(f"no record at {start + pos}" if junk else f"the member at {start + pos} is damaged")
+            if strict and junk and not (found and whole is not None):
                 return
         return
-    yield from _plain(f, fine, finish, strict, start, end)
+    yield from _plain(f, fine, finish, long, strict, severe, start, end)
 
 
-def _plain(f: io.BufferedIOBase, fine, finish, strict: bool, start: int, end: int | None) -> Iterator[Record]:
+def _plain(f: io.BufferedIOBase, fine, finish, long, strict: bool, severe: bool, start: int, end: int | None) -> Iterator[Record]:
     """Streams an uncompressed file: bodies that aren't wanted are skipped, not read."""
     if start:
         f.seek(start)
@@ -244,31 +284,38 @@ def _plain(f: io.BufferedIOBase, fine, finish, strict: bool, start: int, end: in
         at += len(line)
         if line in (b"\r\n", b"\n"):
             continue
-        if not _is_version(line.strip(_WS)) or (strict and not line.endswith(b"\r\n")):
+        version = line.strip(_WS)
+        if not _is_version(version) or (strict and not line.endswith(b"\r\n")):
+            if severe:
+                raise C.StreamError(f"no record at {pos}")
             if strict:
                 return
             continue
-        block = []
+        block, done = [], False
         while line := f.readline(_LONGEST):
             at += len(line)
             block.append(line)
             if line == b"\r\n" or (line == b"\n" and not strict):
+                done = True
                 break
+        if severe and not done:
+            raise C.StreamError(f"the header at {pos} is cut off")
         _, headers, _ = parse_headers(b"".join(block), 0, False, strict)
         size = _length(headers) or 0
-        r = Record(pos, "", headers, size)
-        f.seek(pos)
-        r.version = f.readline(_LONGEST).strip(_WS).decode()
-        f.seek(at)
-        if fine(r):
-            r = finish(r, f.read(size))
+        r = Record(pos, version.decode(), headers, size)
+        wanted = fine(r)
+        if wanted and not long(r):
+            body = f.read(size)
             at += size
-            f.seek(at)
-            if r is not None:
+            if len(body) < size:
+                f.seek(at)
+            if (r := finish(r, body)) is not None:
                 yield r
         else:
             at += size
             f.seek(at)
+            if wanted:
+                yield finish(r, None)
 
 
 def _next_version(f: io.BufferedIOBase, start: int) -> int | None:
@@ -363,19 +410,29 @@ def digest(data: bytes, algorithm: str = "sha1") -> str:
     return f"{algorithm}:{base64.b32encode(hashlib.new(algorithm, data).digest()).decode()}"
 
 
-def verify_digest(data: bytes, text: str) -> bool:
-    """Whether "algorithm:value" is the data's digest; the value is base32, or else hexadecimal."""
+def digest_error(data: bytes, text: str | None) -> str | None:
+    """What is wrong with "algorithm:value" as the data's digest, or None; the value is base32, or else hexadecimal."""
+    if not text:
+        return "missing"
     name, colon, value = text.partition(":")
-    if not colon or name not in ("md5", "sha1", "sha256", "sha512"):
-        return False
-    want = hashlib.new(name, data).digest()
+    if not colon or not value:
+        return "malformed"
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return "unknown algorithm"
+    want, read = hashlib.new(name, data).digest(), 0
     for decode in (base64.b32decode, bytes.fromhex):
         try:
-            if decode(value) == want:
-                return True
+            got = decode(value)
         except ValueError:
             continue
-    return False
+        if got == want:
+            return None
+        read += len(got) == len(want)
+    return "mismatch" if read else "bad encoding"
+
+
+def verify_digest(data: bytes, text: str) -> bool:
+    return digest_error(data, text) is None
 
 
 def verify_block_digest(r: Record) -> bool:
