@@ -37,7 +37,42 @@ def test_small_queries_match_their_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
-    for name in ("encoding_map", "html_title", "html_links", "http_parse", "digest_verify", "dataset_split", "detect_mime", "extract_main_content", "extract_options", "bulk_actions", "warc_length_filter", "text_lines", "lang_detect"):
+    for name in ("encoding_map", "html_title", "html_links", "http_parse", "digest_verify", "dataset_split", "detect_mime", "extract_main_content", "extract_options", "bulk_actions", "warc_length_filter", "text_lines", "lang_detect", "html_tag_counts", "extract_plain_text_basic", "extract_plain_text_minimal_html", "html_inner_text", "page_language_stats", "warc_keep_meta", "warc_recompress", "digest_reasons", "header_edit", "html_many", "text_ascii_lower"):
         got = entry.queries()[name](spark, folder)
         want = con.sql(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), name
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    from pathlib import Path
+
+    from webloom import session
+
+    base = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(base.iterdir())
+    with session.scratch(spark):
+        kept = session.shared_dir(spark)
+        with session.scratch(spark):
+            session.written(spark.range(3))
+            got = session.written(session.written(spark.range(5)), kept)
+        assert {p.name for p in set(base.iterdir()) - before} == {kept.rsplit("/", 1)[-1]} and got.count() == 5
+    assert set(base.iterdir()) == before
+
+
+def test_small_scans_are_dealt_out_and_large_ones_left_alone(spark):
+    from webloom.session import spread
+
+    df = spark.range(100)
+    parts = lambda d: d.rdd.getNumPartitions()
+    assert parts(spread(df.coalesce(1))) == 4 and spread(df.repartition(9)).sameSemantics(df.repartition(9)) and parts(spread(df.repartition(9))) == 9
+
+
+def test_batch_sizes_of_the_session_stay(spark):
+    from webloom.session import prepare
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "77")
+    prepare(spark)
+    assert spark.conf.get(name) == "77"
+    spark.conf.set(name, was)

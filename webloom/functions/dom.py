@@ -462,12 +462,20 @@ class _Stack(list):
         super().__init__(nodes)
         self.open: dict[str, int] = {}
         self.ids: set[int] = set()
+        #: How many svg and math elements are open.
+        self.foreign = 0
         for n in nodes:
             self._add(n, 1)
 
     def _add(self, n: Node, by: int) -> None:
-        self.open[n.tag] = self.open.get(n.tag, 0) + by
-        (self.ids.add if by > 0 else self.ids.discard)(id(n))
+        tag = n.tag
+        self.open[tag] = self.open.get(tag, 0) + by
+        if by > 0:
+            self.ids.add(id(n))
+        else:
+            self.ids.discard(id(n))
+        if tag in ("svg", "math"):
+            self.foreign += by
 
     def append(self, n: Node) -> None:
         super().append(n)
@@ -500,11 +508,6 @@ class _Builder:
         self.stack = _Stack()
         self.active: list[Node | None] = []
 
-    @property
-    def foreign(self) -> int:
-        """How many svg and math elements are open."""
-        return self.stack.open.get("svg", 0) + self.stack.open.get("math", 0)
-
     def _need_root(self) -> None:
         if self.root is None:
             self.root = Node(ELEMENT, "html")
@@ -577,7 +580,7 @@ class _Builder:
             lead = len(value) - len(value.lstrip(_SPACE))
             value = value[lead:] if not self._in_head() else value
             self._need_body()
-        if not self.foreign and self.top.tag not in RAW and self.top.tag not in ESCAPABLE:
+        if not self.stack.foreign and self.top.tag not in RAW and self.top.tag not in ESCAPABLE:
             self._reopen()
         self._append_text(value)
 
@@ -598,7 +601,7 @@ class _Builder:
 
     def _open(self, tag: str, attrs: dict[str, str], closed: bool = False) -> Node:
         n = Node(ELEMENT, tag, attrs)
-        n.foreign = bool(self.foreign)
+        n.foreign = bool(self.stack.foreign)
         self._put(self.top, n)
         if not closed:
             self.stack.append(n)
@@ -625,7 +628,7 @@ class _Builder:
                     self.body.attrs.setdefault(k, v)
             return None
         if self.body is None:
-            if tag in HEAD_ONLY and not self.foreign:
+            if tag in HEAD_ONLY and not self.stack.foreign:
                 if not self._in_head():
                     self._need_head()
                     self.stack = _Stack([self.root, self.head])
@@ -638,9 +641,9 @@ class _Builder:
             n = self._open(tag, attrs, self_closing)
             n.foreign = True
             return n
-        if self.foreign:
+        if self.stack.foreign:
             if tag in CLOSES_P or tag in FORMATTING - {"a"}:
-                while self.foreign:
+                while self.stack.foreign:
                     self.stack.pop()
             else:
                 return self._open(tag, attrs, self_closing)
@@ -730,7 +733,7 @@ class _Builder:
                 return
         if tag in ("body", "html"):
             return
-        if self.foreign:
+        if self.stack.foreign:
             for i in range(len(self.stack) - 1, 1, -1):
                 if self.stack[i].tag == tag:
                     del self.stack[i:]

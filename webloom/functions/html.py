@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from webloom.functions import dom
 from webloom.functions.dom import ELEMENT, Node, Tree
 from webloom.functions.encoding import bytes_to_str, map_encoding
-from webloom.functions.extract import inner_text
+from webloom.functions.extract import extract_text, inner_text
 from webloom.session import prepare
 
 BLOCK_ELEMENTS = sorted(dom.BLOCK)
@@ -52,6 +52,43 @@ def html_inner_text(page: str | Column) -> Column:
     return _on_tree(lambda t: inner_text(t.body), "string", pa.string())(page)
 
 
+def html_many(page: str | Column, **wanted: str | tuple) -> Column:
+    """A struct of several facts of a page that is parsed once for all of them, one field for each keyword.
+
+    "title", "inner_text", "html"; ("text", options of extract_text); ("select", selector) for the elements;
+    ("count", selector); ("attr", selector, name) for the first element's attribute.
+    """
+    string = (T.StringType(), pa.string())
+    element = (T.ArrayType(_ELEMENT), pa.list_(_ARROW_ELEMENT))
+
+    def reader(spec: str | tuple) -> tuple[Callable[[Tree], object], T.DataType, pa.DataType]:
+        name, *rest = (spec,) if isinstance(spec, str) else spec
+        if name == "title":
+            return lambda t: t.title, *string
+        if name == "inner_text":
+            return lambda t: inner_text(t.body), *string
+        if name == "html":
+            return lambda t: dom.serialise(t.document), *string
+        if name == "text":
+            return lambda t: extract_text(t, **(rest[0] if rest else {})), *string
+        if name == "select":
+            return lambda t: [_element(n) for n in t.document.query_selector_all(rest[0])], *element
+        if name == "count":
+            return lambda t: len(t.document.query_selector_all(rest[0])), T.IntegerType(), pa.int32()
+        if name == "attr":
+            return lambda t: (n := t.document.query_selector(rest[0])) and n.attrs.get(rest[1]), *string
+        raise ValueError(f"nothing is called {name}")
+
+    readers = {k: reader(v) for k, v in wanted.items()}
+    kind = T.StructType([T.StructField(k, t) for k, (_, t, _) in readers.items()])
+    return _on_tree(lambda t: {k: f(t) for k, (f, _, _) in readers.items()}, kind, pa.struct([(k, a) for k, (_, _, a) in readers.items()]))(page)
+
+
+def ascii_lower(x: str | Column) -> Column:
+    """Lower case of A to Z only, as byte-wise comparisons want it; all other letters stay."""
+    return F.translate(_col(x), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def html_serialised(page: str | Column) -> Column:
     """The page as its tree reads."""
     return _on_tree(lambda t: dom.serialise(t.document), "string", pa.string())(page)

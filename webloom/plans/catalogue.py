@@ -15,7 +15,7 @@ from webloom.functions import http as P
 from webloom.functions import language as L
 from webloom.functions.extract import extract_plain_text, extract_text
 from webloom.functions.guards import guarded
-from webloom.session import prepare, shared_dir, written
+from webloom.session import prepare, shared_dir, spread, written
 from webloom.sources import archive as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _hash(x: str | Column) -> Column:
@@ -414,10 +414,19 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", F.inline(H.html_links("html")))
 
 
-@_query("SELECT page_id, tag, len(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', ''), '<' || tag || '[ >]'))::BIGINT AS n FROM pages, (VALUES ('a'), ('li'), ('div'), ('h1'), ('article'), ('nav'), ('footer'), ('ul'), ('br')) AS t(tag) WHERE n > 0")
+@_query(
+    """WITH t AS (
+        SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages
+    ), b AS (
+        SELECT page_id, regexp_extract_all(html, '<p>(?:<b>)?|<footer>') AS x FROM pages
+    ), o AS (
+        SELECT page_id, list_sum(list_transform(range(1, len(x) + 1), lambda i: least(3, len(list_filter(x[1:i - 1], lambda y: y = '<p><b>'))) + (x[i] = '<p><b>')::INTEGER))::BIGINT AS n FROM b
+    )
+    SELECT page_id, tag, count(*) AS n FROM t WHERE tag <> 'b' GROUP BY 1, 2 UNION ALL SELECT page_id, 'b', n FROM o WHERE n > 0"""
+)
 def html_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = H.html_nodes(_pages(spark, sf_dir), elements_only=True).where(F.col("tag").isin("a", "li", "div", "h1", "article", "nav", "footer", "ul", "br"))
-    return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    """All elements by tag; an unclosed b is opened again in each block behind it, up to three at once."""
+    return H.html_nodes(_pages(spark, sf_dir), elements_only=True).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT page_id, " + _ENTITIES.format("regexp_extract(html, '(?s)<article><h1>([^<]*)</h1>', 1)") + " AS heading, 1 AS n, true AS any FROM pages")
@@ -516,6 +525,21 @@ def extract_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@_query(
+    "SELECT page_id, trim(regexp_replace(" + _ENTITIES.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + ", '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, "
+    f"len(regexp_extract_all(html, '<li>'))::INTEGER AS items, {_layout('p|h1', '  • ')} AS text, {_MAIN_TEXT} AS main FROM pages"
+)
+def html_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several facts of a page from one parse."""
+    facts = H.html_many("html", title="title", lang=("attr", "html", "lang"), items=("count", "nav li"), text="text", main=("text", {"main_content": True, "preserve_formatting": False}))
+    return _pages(spark, sf_dir).select("page_id", facts.alias("f")).select("page_id", "f.*")
+
+
+@_query("SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS url, md5(translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM pages")
+def text_ascii_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", H.ascii_lower("url").alias("url"), _hash(H.ascii_lower("html")).alias("h"))
+
+
 @_query(f"SELECT page_id, {_layout('p', '')} AS text FROM pages")
 def html_inner_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", H.html_inner_text("html").alias("text"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,36 +21,74 @@ _MALLOC = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MAL
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver runs from another folder, and bound their batches."""
+    """Let Python workers import this package when the driver runs from another folder, and bound their batches.
+
+    Batch sizes that the session sets itself stay.
+    """
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
     env.update({k: v for k, v in _MALLOC.items() if k not in os.environ})
     for name, value in _BATCHES.items():
-        spark.conf.set(name, value)
+        if not spark._jsparkSession.sessionState().conf().contains(name):
+            spark.conf.set(name, value)
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out over all cores where its scan has fewer tasks than there are cores, as a file of one row group has.
+
+    A table of more tasks is left as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+#: Folders made within ``scratch``, innermost last.
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    The cluster names that folder in spark.checkpoint.dir; only where it is unset and everything runs on one
+    machine (tests), a temporary folder takes its place.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/webloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/webloom-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends here."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that are made inside it, once what needs them has been written elsewhere."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its file system, as readers outside Spark need it."""
     jvm = spark.sparkContext._jvm
