@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm._arrow import cogrouped
-from webloom.session import shuffle_partitions, written
+from webloom.session import delete, shared_dir, shuffle_partitions, written
 
 #: Candidates of one Python call, and sets on either side of a block.
 _PAIRS, _SIDE = 200_000, 500
@@ -43,9 +43,11 @@ def components(pairs: DataFrame) -> DataFrame:
     """(doc_id, group): the smallest doc_id that the pairs (doc_a, doc_b) lead to, for every document in a pair.
 
     Alternating large-star and small-star steps until nothing changes (a chain of length n takes about log n rounds); each
-    round is written to the shared folder.
+    round is written to the shared folder, in place of the one before.
     """
-    edges = written(pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct())
+    spark = pairs.sparkSession
+    path = shared_dir(spark)
+    edges = written(pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct(), path)
     last, state = None, ()
     while state != last:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -54,7 +56,9 @@ def components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small)
+        before, path = path, shared_dir(spark)
+        edges = written(small, path)
+        delete(spark, before)
         last, state = state, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("group")).union(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("group")).distinct())
 

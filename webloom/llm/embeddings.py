@@ -6,7 +6,8 @@ key, and L tables of keys make up for misses.  Two vectors at distance c agree o
 
     p(c) = 1 - 2 Phi(-w/c) - 2c / (sqrt(2 pi) w) (1 - exp(-w^2 / 2c^2)),
 
-so m = ln(n) / ln(1 / p(far)), rounded down, leaves one to three chance partners per vector and table at any n, and
+so m = ln(4n) / ln(1 / p(far)), rounded up, leaves at most a quarter of a chance partner per vector and table at any n
+(a candidate costs several times what a key costs), and
 L = ln(1 - recall) / ln(1 - p(near)^m) finds a pair at the threshold with probability ``recall``
 (closer pairs more surely).  Candidates share a bucket; each pair is then checked by its exact cosine.
 
@@ -51,7 +52,7 @@ def collision(c: float, width: float) -> float:
 def plan(n: int, threshold: float, recall: float, width: float) -> tuple[int, int]:
     """(hashes a key, tables) for n vectors."""
     near, far = collision(math.sqrt(2 - 2 * threshold), width), collision(_FAR, width)
-    m = max(1, math.floor(math.log(max(n, 2)) / -math.log(far)))
+    m = max(1, math.ceil(math.log(4 * max(n, 2)) / -math.log(far)))
     hit = near**m
     return m, 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
 

@@ -73,7 +73,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("chunk", "h").agg(F.count("*").alias("n"), F.min("owner").alias("owner"))
 
 
-def line_dedup(docs: DataFrame, max_count: int = 6, keys_per_shard: int = 2_000_000) -> DataFrame:
+def line_dedup(docs: DataFrame, max_count: int = 6, keys_per_shard: int = 500_000) -> DataFrame:
     """The documents with repeated lines taken out of ``text``, and ``lines_removed``."""
     prepare(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() != "lines_removed"]

@@ -18,6 +18,7 @@ from webloom.llm.packing import best_fit_packing
 from webloom.llm.pii import pseudonymise
 from webloom.llm.quality import quality_rules
 from webloom.llm.sharding import with_shards
+from webloom.session import spread
 
 #: A public byte-level vocabulary; a path, so that a cluster can name its own place for it.
 VOCABULARY = os.environ.get("WEBLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -28,7 +29,7 @@ DEMO_KEY = b"not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
