@@ -23,7 +23,7 @@ from webloom.llm.ngram_join import keep_one
 from webloom.llm.packing import best_fit_packing
 from webloom.llm.quality import quality_rules
 from webloom.llm.queries import BUDGET, TARGETS, VOCABULARY
-from webloom.session import prepare, written
+from webloom.session import delete, prepare, scratch, shared_dir, spread, written
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,14 +82,18 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", packing),
 ]
 
-#: Fitting the classifier and packing have no SQL; the tests hold run() against a plain Python version.
+#: Fitting the classifier and packing have no SQL; tests/llm/test_pipeline.py holds run() against a plain Python version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs)
-    return docs
+    """The sequences; what a stage leaves in the shared folder goes as soon as its result is written there."""
+    docs, last = spread(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")), None
+    for _, stage in STAGES[:-1]:
+        path = shared_dir(spark)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), path)
+        if last:
+            delete(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)
