@@ -76,3 +76,18 @@ def test_batch_sizes_of_the_session_stay(spark):
     prepare(spark)
     assert spark.conf.get(name) == "77"
     spark.conf.set(name, was)
+
+
+def test_detail_queries_match_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from webloom.plans import catalogue, details
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    names = [n for n, f in catalogue.QUERIES.items() if f.__module__ == details.__name__]
+    assert len(names) > 20
+    for name in names:
+        got = entry.queries()[name](spark, folder)
+        want = con.sql(f"select {', '.join(got.columns)} from ({entry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), name

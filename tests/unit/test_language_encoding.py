@@ -92,3 +92,33 @@ def test_decoding():
 )
 def test_mime(data, mime):
     assert E.detect_mime(data) == mime
+
+
+def test_splits_match_a_plain_version(spark):
+    import hashlib
+
+    from webloom.functions import language as L
+
+    rows = [(lang, f"{lang} line {i} " + "x" * (i % 3) * 100) for lang, n in (("en", 400), ("de", 60), (None, 30), ("fr", 4)) for i in range(n)]
+    rows += rows[:50] + [("en", None)]
+    df = spark.createDataFrame(rows, "lang string, line string")
+    for least, enough in ((0, 1), (100, 15)):
+        want = {}
+        for lang in ("en", "de", None, "fr"):
+            lines = sorted({x for k, x in rows if k == lang and x is not None and len(x) >= least}, key=lambda x: hashlib.sha1(x.encode()).hexdigest())
+            if len(lines) < enough:
+                continue
+            a = b = int(len(lines) * 0.05)
+            want |= {(lang, x): "test" if i < a else "val" if a < i < a + b else "train" for i, x in enumerate(lines)}
+        got = L.split_examples(df, least=least, least_examples=enough).collect()
+        assert len(got) == len(want) and {(r.lang, r.line): r.part for r in got} == want
+
+
+def test_held_out_lines_are_judged_by_others(spark):
+    from webloom.functions import language as L
+
+    rows = [(k, f"{v} {i}", "test" if i < 3 else "train") for k, v in TEXTS.items() for i in range(12)]
+    examples = spark.createDataFrame(rows, "lang string, line string, part string")
+    got = L.held_out(examples).collect()
+    assert len(got) == 9 and all(r.lang == r.predicted for r in got)
+    assert {r.predicted for r in L.held_out(examples, truncate=0).collect()} <= {*TEXTS, "unknown"}

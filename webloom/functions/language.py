@@ -204,21 +204,38 @@ def evaluate(predicted: DataFrame, actual: str = "lang", found: str = "predicted
     return rows.select("lang", "n", "precision", "recall", f1.alias("f1"), (right / F.col("total")).alias("accuracy"))
 
 
-def split_examples(lines: DataFrame, line: str = "line", lang: str = "lang", least: int = 200, test: float = 0.05, val: float = 0.05) -> DataFrame:
+def split_examples(lines: DataFrame, line: str = "line", lang: str = "lang", least: int = 200, test: float = 0.05, val: float = 0.05, least_examples: int = 1) -> DataFrame:
     """(lang, line, part): distinct lines of at least ``least`` characters, dealt to test, val and train in the order of their hash.
 
-    The line at the boundary behind test goes to train.
+    The line at the boundary behind test goes to train.  Languages of fewer than ``least_examples`` lines go.  A line's place
+    is that within its hash's first four digits, and the number of lines before these, so that no task sorts a whole language.
     """
     from pyspark.sql import Window
 
     rows = lines.where(F.length(line) >= least).select(F.col(lang).alias("lang"), F.col(line).alias("line")).dropDuplicates(["lang", "line"]).withColumn("h", F.sha1("line"))
-    order, all_ = Window.partitionBy("lang").orderBy("h"), Window.partitionBy("lang")
-    placed = rows.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(all_)})
+    rows = rows.withColumn("b", F.substring("h", 1, 4))
+    counts = rows.groupBy("lang", "b").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows of each language
+    before = counts.withColumns({"before": F.coalesce(F.sum("c").over(upto), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("lang"))})
+    before = before.where(F.col("n") >= least_examples).select(F.col("lang").alias("__lang"), F.col("b").alias("__b"), "before", "n")
+    own = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang", "b").orderBy("h")) - 1)
+    placed = own.join(before, own["lang"].eqNullSafe(before["__lang"]) & (F.col("b") == F.col("__b"))).withColumn("i", F.col("before") + F.col("k"))
     first, second = F.floor(F.col("n") * test), F.floor(F.col("n") * test) + F.floor(F.col("n") * val)
     part = F.when(F.col("i") < first, "test").when((F.col("i") > first) & (F.col("i") < second), "val").otherwise("train")
     return placed.select("lang", "line", part.alias("part"))
 
 
+def held_out(examples: DataFrame, cutoff: int = 1200, truncate: int | None = None) -> DataFrame:
+    """(lang, line, part, predicted) of the lines of ``split_examples`` that aren't for training, by profiles trained on those that are.
+
+    With ``truncate``, only that many characters of a line are looked at.
+    """
+    profiles = Profiles.of(train_profiles(examples.where("part = 'train'"), "line"))
+    judged = examples.where("part <> 'train'")
+    text = F.col("line") if truncate is None else F.substring("line", 1, truncate)
+    return judged.withColumn("predicted", detect(text, profiles, cutoff)["lang"])
+
+
 def clean_lines(text: str | Column) -> Column:
     """array of candidate lines: NFKC, without [[ and ]] and without <doc> markers."""
     import unicodedata

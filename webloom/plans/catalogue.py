@@ -186,6 +186,19 @@ def dataset_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.split_examples(_lines(spark, sf_dir)).select("lang", F.sha1("line").alias("h"), "part")
 
 
+@_query(
+    f"""WITH split AS (SELECT lang, line, CASE WHEN i < a THEN 'test' WHEN i > a AND i < a + b THEN 'val' ELSE 'train' END AS part FROM (
+        SELECT lang, line, row_number() OVER (PARTITION BY lang ORDER BY sha1(line)) - 1 AS i, floor(count(*) OVER (PARTITION BY lang) * 0.05) AS a, floor(count(*) OVER (PARTITION BY lang) * 0.05) AS b FROM ({_LINES}))
+    ), documents AS (
+        SELECT lang || ':' || line AS doc_id, line AS text, CASE WHEN part = 'train' THEN lang END AS lang FROM split
+    ), {_RANKS}
+    SELECT s.lang AS actual, CASE predicted WHEN 'unknown' THEN '-' ELSE predicted END AS predicted, count(*) AS n FROM guess g JOIN split s ON g.doc_id = s.lang || ':' || s.line WHERE part <> 'train' GROUP BY 1, 2"""
+)
+def lang_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusions on lines that the profiles weren't trained on."""
+    return L.confusion(L.held_out(written(L.split_examples(_lines(spark, sf_dir)))))
+
+
 # Encodings and media types
 
 _LABELS = " Latin1 |utf8|SJIS|windows-874|oops|ISO-8859-8|ascii|UTF-16|csisolatin9|koi8-ru".split("|")
@@ -284,7 +297,7 @@ def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written_archive(spark: SparkSession, sf_dir: str, compression: str = "gzip", checksum: bool = False) -> str:
     A.register(spark)
     path = shared_dir(spark)
-    _archive(spark, sf_dir).coalesce(4).write.format("warc").option("compression", compression).option("checksum", str(checksum).lower()).mode("append").save(path)
+    _archive(spark, sf_dir).coalesce(max(4, spark.sparkContext.defaultParallelism)).write.format("warc").option("compression", compression).option("checksum", str(checksum).lower()).mode("append").save(path)
     return path
 
 

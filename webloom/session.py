@@ -36,7 +36,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out over all cores where its scan has fewer tasks than there are cores, as a file of one row group has.
+    """df, a plain scan, dealt out over all cores where it has fewer tasks than there are cores, as a file of one row group has.
 
     A table of more tasks is left as it is, so nothing is shuffled at scale.
     """

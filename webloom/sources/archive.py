@@ -21,6 +21,7 @@ from __future__ import annotations
 import fnmatch
 import importlib
 import io
+import itertools
 import posixpath
 import random
 import re
@@ -98,8 +99,13 @@ def reader_options(options: dict) -> dict:
     }
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if re.match(r"\w+:", path) else (pa.fs.LocalFileSystem(), path)
+
+
 def open_file(path: str):
-    fs, inner = pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path)) if re.match(r"\w+:", path) else (pa.fs.LocalFileSystem(), path)
+    fs, inner = file_system(path)
     return fs.open_input_file(inner)
 
 
@@ -466,14 +472,52 @@ def send_bulk(actions: DataFrame, send, dry_run: bool = False, ignore_400: bool
     return actions.mapInArrow(run, "_id string")
 
 
-def read_text(spark: SparkSession, pattern: str, encoding: str = "utf-8") -> DataFrame:
-    """(value) lines of text files, decoded leniently; plain files are split by Spark."""
-    from webloom.functions.encoding import decoded
+#: Encodings in which a line feed may be part of another character, or the state of a line depends on those before it.
+_WHOLE = re.compile(r"utf-?(16|32|7)|iso-?2022|hz", re.I)
+
+
+def read_text(spark: SparkSession, pattern: str, encoding: str = "utf-8", split_bytes: int = 64 << 20) -> DataFrame:
+    """(value) lines of text files, decoded leniently.
+
+    UTF-8 is split by Spark.  Other files are read in ranges of ``split_bytes``, and as a whole only if they are compressed (by
+    their suffix) or in an encoding whose line feeds can't be told byte by byte (UTF-16, UTF-32, ISO-2022).
+    """
+    from webloom.functions.encoding import bytes_to_str, decoded, map_encoding
 
-    lines = spark.read.format("text").load(pattern)
     if encoding.lower().replace("-", "") == "utf8":
-        return lines
-    return prepare(spark).read.format("binaryFile").load(pattern).select(F.explode(F.split(F.regexp_replace(decoded("content", encoding), r"\r?\n\z", ""), r"\r?\n")).alias("value"))
+        return spark.read.format("text").load(pattern)
+    prepare(spark)
+    if _WHOLE.search(encoding):
+        return spark.read.format("binaryFile").load(pattern).select(F.explode(F.split(F.regexp_replace(decoded("content", encoding), r"\r?\n\z", ""), r"\r?\n")).alias("value"))
+    name, packed = map_encoding(encoding), (".gz", ".bz2", ".zst", ".lz4")
+    ranges = [(p, a, min(a + split_bytes, n)) for p, n in list_files(pattern) for a in range(0, n, split_bytes if not p.endswith(packed) else max(n, 1))]
+    table = spark.createDataFrame(ranges, "path string, start long, end long").repartition(max(1, len(ranges)))
+
+    def read(parts):
+        for b in parts:
+            for row in b.to_pylist():
+                fs, inner = file_system(row["path"])
+                lines = _lines(fs, inner, row["start"], row["end"], row["path"].endswith(packed))
+                while some := list(itertools.islice(lines, 5000)):
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([bytes_to_str(x, name) for x in some], pa.string())})
+
+    return table.mapInArrow(read, "value string")
+
+
+def _lines(fs: pa.fs.FileSystem, path: str, start: int, end: int, packed: bool) -> Iterator[bytes]:
+    """The lines that begin in a range, without their ends."""
+    with fs.open_input_stream(path, compression="detect") if packed else fs.open_input_file(path) as raw:
+        f = io.BufferedReader(raw, 1 << 16)
+        at = start
+        if start and not packed:
+            f.seek(start - 1)
+            at += len(f.readline()) - 1
+        while packed or at < end:
+            line = f.readline()
+            if not line:
+                return
+            at += len(line)
+            yield line.removesuffix(b"\n").removesuffix(b"\r")
 
 
 def stream_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
