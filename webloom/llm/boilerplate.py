@@ -22,7 +22,8 @@ costs what the number of chunks costs, not the number of pages.
 Tokens are runs of anything but ASCII white space, compared in lower case, outside tags, comments
 and the contents of script, style, template, noscript and title; character references are decoded.
 
-Nulls, ties and odd rows: a null or empty html gives an empty text; null and unparsable urls
+Nulls, ties and odd rows: pages of any length are taken whole; page_id has to be a whole number (it is cast to long); a null or
+empty html gives an empty text; null and unparsable urls
 share one host; rows with the same page_id, or null ones, are one page, so what only they share
 stays; copies of a page under several page_ids remove each other; pages of fewer than
 ``min_tokens`` tokens stay whole.  Extra columns are ignored.  An empty table gives no rows.

@@ -24,7 +24,7 @@ Rates turn into copies by a hash of doc_id: floor(r) or one more, with the right
 a rerun repeats itself.
 
 Nulls, ties and odd rows: null and empty texts have no tokens; they get the posteriors of an
-empty text and the rate that follows; texts of any length are taken whole; null doc_ids hash alike; repeated rows each
+empty text and the rate that follows; texts of any length are taken whole; doc_id has to be a whole number where labels are given (it is cast to long for the sample); null doc_ids hash alike; repeated rows each
 count and get the same rate; labels with nulls are ignored, and of several labels for a doc_id the
 worst counts.  Extra columns are passed on by ``mixed``, but those named like its own, in any case, give way.
 Without labels of two classes the posteriors are uniform over the domains.  An empty table
@@ -102,7 +102,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(feature: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-4) -> np.ndarray:
-    """Softmax weights (features x domains) by full-batch gradient steps with per-feature scaling.
+    """Softmax weights (features x domains) by a set number of full-batch gradient steps with per-feature scaling.
 
     Features enter in proportion to how far their presence moves the odds of a domain, so that rare
     telling words count and the many that tell nothing don't drown them.

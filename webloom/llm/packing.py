@@ -13,7 +13,8 @@ are packed side by side; only (doc_id, tokens) travels, no text.  A shard works
 size, so a step costs one look-up, not a scan of the pieces.  Each shard leaves at most a few
 sequences half-filled, which doesn't grow with the corpus.
 
-Nulls, ties and odd rows: null and empty texts have no tokens and aren't packed; a null doc_id
+Nulls, ties and odd rows: null and empty texts have no tokens and aren't packed; a very long text becomes as many pieces as it
+needs; doc_id has to be a whole number (it is cast to long), and a null one
 is packed as a null; equal sizes are taken in the order (doc_id, start), nulls last; repeated
 rows are packed once each.  Other columns are ignored.  An empty table gives no rows.
 """

@@ -214,7 +214,7 @@ ORACLE: dict[str, str] = {
             SELECT lang, count(*) // 5 AS n, count(*) OVER () AS strata FROM held GROUP BY 1
         ), terms AS (
             SELECT lang, n, strata, j, exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - CASE WHEN j = n THEN 0 ELSE lgamma(n - j + 1) END + j * ln(0.02 / 5) + (n - j) * ln(1 - 0.02 / 5)) AS p
-            FROM n, LATERAL (SELECT unnest(range(0, least(n, 20000) + 1)) AS j)
+            FROM n, LATERAL (SELECT unnest(range(0, n + 1)) AS j)
         ), rank AS (
             SELECT lang, count(*) FILTER (cdf <= 0.05 / (5 * strata)) AS k FROM (SELECT lang, strata, sum(p) OVER (PARTITION BY lang ORDER BY j) AS cdf FROM terms) GROUP BY 1
         ), ordered AS (
