@@ -69,3 +69,14 @@ def test_counter_equals_the_encoder():
 
 def test_empty_table(spark):
     assert best_fit_packing(spark.createDataFrame([], DOCS), VOCABULARY).count() == 0
+
+
+def test_a_repeated_document_is_spread_over_all_shards(spark):
+    docs = rows([(7, words(30, 7))] * 100 + [(None, words(20, 8))] * 101 + [(i, words(10, i)) for i in range(100, 150)])
+    got = best_fit_packing(spark.createDataFrame(docs, DOCS), VOCABULARY, capacity=256, docs_per_shard=50).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r.shard, []).extend(r.doc_ids)
+    assert len(per) == 6 and all(16 <= p.count(7) <= 17 and 16 <= p.count(None) <= 17 for p in per.values())
+    assert sum(p.count(7) for p in per.values()) == 100 and sum(p.count(None) for p in per.values()) == 101
+    assert sorted(d for p in per.values() for d in p if d and d >= 100) == list(range(100, 150))

@@ -9,8 +9,9 @@ the one with the largest piece.  A sequence of one piece keeps it, even if two o
 it better: sizes 6, 5, 5 at a capacity of 10 become [6] and [5, 5] in this order.
 
 Documents are dealt to shards by a hash of doc_id, about ``docs_per_shard`` each, and shards
-are packed side by side; only (doc_id, tokens) travels, no text.  A shard works on counts per
-size, so a step costs one look-up, not a scan of the pieces.  Each shard leaves at most a few
+are packed side by side; only (doc_id, tokens) travels, no text.  Rows of one doc_id and length are counted first and their
+number is divided evenly over the shards, from the one of their hash on, so no doc_id makes a shard large.  A shard works on
+counts per size, so a step costs one look-up, not a scan of the pieces.  Each shard leaves at most a few
 sequences half-filled, which doesn't grow with the corpus.
 
 Nulls, ties and odd rows: null and empty texts have no tokens and aren't packed; a very long text becomes as many pieces as it
@@ -109,6 +110,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _pack(table: pa.Table, capacity: int) -> pa.Table:
+    table = table.take(pa.array(np.repeat(np.arange(table.num_rows), np.asarray(table.column("n")))))
     ids, start, size = (table.column(c).combine_chunks() for c in ("doc_id", "start", "tokens"))
     null = np.asarray(ids.is_null())
     doc, start, size = np.asarray(ids.fill_null(0)), np.asarray(start), np.asarray(size)
@@ -147,7 +149,9 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 4096, end
     counts = written(token_counts(docs, vocabulary).where("tokens > 0").withColumn("tokens", F.col("tokens") + end_tokens))
     shards = max(1, -(-counts.count() // docs_per_shard))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long"))).alias("start")
-    pieces = counts.select("doc_id", "tokens", starts).select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "start", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("int").alias("tokens")
+    same = counts.groupBy("doc_id", "tokens").agg(F.count("*").alias("n")).withColumn("over", F.least("n", F.lit(shards).cast("long")))
+    dealt = same.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("over") - 1))).select(
+        F.pmod(F.pmod(F.xxhash64("doc_id"), F.lit(shards)) + F.col("k"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "tokens", F.expr("n div over + if(k < n % over, 1, 0)").alias("n")
     )
+    pieces = dealt.select("shard", "doc_id", "tokens", "n", starts).withColumn("tokens", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("int"))
     return pieces.groupBy("shard").applyInArrow(grouped(_pack, capacity=capacity), _PACK)
