@@ -135,3 +135,11 @@ def test_fit_separates():
     w = fit(f, v, first, np.array([0, 1, 0, 1, 0, 0]))
     z = np.add.reduceat(w[f] * v[:, None], first[:-1], axis=0)
     assert z.argmax(axis=1).tolist() == [0, 1, 0, 1, 0, 0]
+
+
+def test_copies_of_a_labelled_document_use_up_no_sample_rows(spark):
+    docs, labels = corpus(60)
+    lab = spark.createDataFrame(labels, LABELS)
+    want = classifier(spark.createDataFrame(docs, DOCS), lab, sample_rows=40)
+    assert any(np.frombuffer(want, np.float32))
+    assert classifier(spark.createDataFrame([*docs, *docs[:10] * 30], DOCS), lab, sample_rows=40) == want

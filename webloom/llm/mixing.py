@@ -26,7 +26,8 @@ a rerun repeats itself.
 Nulls, ties and odd rows: null and empty texts have no tokens; they get the posteriors of an
 empty text and the rate that follows; texts of any length are taken whole; doc_id has to be a whole number where labels are given (it is cast to long for the sample); null doc_ids hash alike; repeated rows each
 count and get the same rate; labels with nulls are ignored, and of several labels for a doc_id the
-worst counts.  Extra columns are passed on by ``mixed``, but those named like its own, in any case, give way.
+worst counts; of rows that repeat a labelled doc_id, the fit takes one, that whose text has the smallest hash, so that it never sees more than
+``sample_rows``.  Extra columns are passed on by ``mixed``, but those named like its own, in any case, give way.
 Without labels of two classes the posteriors are uniform over the domains.  An empty table
 gives no rows.
 """
@@ -156,7 +157,8 @@ def classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     there = worst.join(texts.select(F.col("doc_id").alias("__wl_there")), F.col("__wl_id") == F.col("__wl_there"), "left_semi")
     chosen = there.select("__wl_id", y.cast("int").alias("y")).orderBy(F.xxhash64("__wl_id"), "__wl_id").limit(sample_rows)
-    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__wl_id"]).select("doc_id", "y", _packed()(F.col("text")).alias("f"))
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__wl_id"]).select("doc_id", "y", F.xxhash64("text").alias("h"), _packed()(F.col("text")).alias("f"))
+    rows = found.groupBy("doc_id", "y").agg(F.min(F.struct("h", "f")).alias("one")).select("doc_id", "y", "one.f")
     got = rows.withColumn("__wl_all", F.lit(0)).groupBy("__wl_all").applyInArrow(grouped(_fit), "weights binary").collect()
     return bytes(got[0][0]) if got else np.zeros((_DIM, len(DOMAINS)), np.float32).tobytes()
 
