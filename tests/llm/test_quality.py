@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.data import DOCS, awkward, rows, words
-from webloom.llm.quality import RULES, cautious_rank, measure, quality_rules, thresholds
+from webloom.llm.quality import RULES, _kth_largest, cautious_rank, measure, quality_rules, thresholds
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -102,3 +102,18 @@ def test_awkward_rows(spark):
     assert sorted((r.doc_id, r.failed) for r in got.collect() if r.rejected and r.doc_id) == [(1, ["empty"]), (2, ["empty"])]
     assert got.count() == len(docs)
     assert quality_rules(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, 1, 0)], LABELS)).count() == 0
+
+
+def test_kth_largest_matches_sorting(spark):
+    """Ties, values closer than any cell of the grid, and ranks at both ends."""
+    rng = random.Random(3)
+    values, wanted, want = [], [], {}
+    for stratum in ("a", None):
+        for rule, draw in (("x", lambda: rng.randint(0, 40) / rng.randint(40, 90)), ("y", lambda: 0.0), ("z", lambda: 0.5 + rng.randint(0, 30) * 2.0**-40)):
+            mine = [draw() for _ in range(300)]
+            values += [(stratum, rule, v, mine.count(v)) for v in set(mine)]
+            k = rng.choice((1, 17, 150, 300))
+            wanted.append((stratum, rule, k))
+            want[stratum, rule] = sorted(mine, reverse=True)[k - 1]
+    got = _kth_largest(spark.createDataFrame(values, "stratum string, rule string, v double, c long"), spark.createDataFrame(wanted, "stratum string, rule string, k int"))
+    assert {(r.stratum, r.rule): r.cutoff for r in got.collect()} == want
