@@ -71,6 +71,17 @@ def test_encodings(data, html5, raw):
     assert d.encoding() == html5
 
 
+@pytest.mark.parametrize("pad", range(3))
+def test_encodings_of_long_texts(pad):
+    """Characters at the places where long data is cut, and such that are only in its middle."""
+    for text, codec in (("äß€", "utf-8"), ("いろはにほへと", "shift_jis"), ("いろはにほへと", "euc_jp"), ("키스의고유조건은", "euc_kr")):
+        part = text.encode(codec)
+        assert E.detect_encoding(b"x" * pad + b" " + part * (60_000 // len(part)) + b" " + part * (120_000 // len(part)) + b" " + b"y" * pad) == codec
+        assert E.detect_encoding(b"x" * (100_000 + pad) + b" " + part * 3 + b" " + b"y" * 100_000) == codec
+    assert E.detect_encoding("äß€ ".encode() * 20_000 + b"\xff" + "äß€ ".encode() * 20_000) == "utf-8"
+    assert E.detect_encoding("é ".encode("cp1252") * 100_000) == "cp1252"
+
+
 def test_meta_and_labels():
     page = '<!doctype html><!-- <meta charset="greek"> --><meta charset=latin1><p>äöü'.encode()
     assert E.detect_encoding(page) == "utf-8" and E.detect_encoding(page, from_html_meta=True) == "cp1252"
