@@ -82,6 +82,14 @@ def test_encodings_of_long_texts(pad):
     assert E.detect_encoding("é ".encode("cp1252") * 100_000) == "cp1252"
 
 
+def test_long_texts_come_back_by_their_encoding(spark, tmp_path):
+    from webloom.plans import details
+
+    rows = [(i, "x" * i + " " + "äß€" * 20_000, "de") for i in range(6)] + [(9, "x" * 100_000 + " ä " + "y" * 100_000, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["utf8"], r["utf16"]) for r in details.detect_encoding_roundtrip(spark, str(tmp_path)).collect()] == [(True, True)] * 7
+
+
 def test_meta_and_labels():
     page = '<!doctype html><!-- <meta charset="greek"> --><meta charset=latin1><p>äöü'.encode()
     assert E.detect_encoding(page) == "utf-8" and E.detect_encoding(page, from_html_meta=True) == "cp1252"
