@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from webloom.functions import encoding as E
@@ -141,3 +143,28 @@ def test_held_out_lines_are_judged_by_others(spark):
     got = L.held_out(examples).collect()
     assert len(got) == 9 and all(r.lang == r.predicted for r in got)
     assert {r.predicted for r in L.held_out(examples, truncate=0).collect()} <= {*TEXTS, "unknown"}
+
+
+def test_profiles_are_summed_within_tasks(spark, monkeypatch):
+    """A row for each language leaves a task, not one for each bucket of each text, and a task holds a bounded number of sums."""
+    from webloom.functions import language as L
+
+    docs = spark.createDataFrame([(f"l{i % 5}" if i % 7 else None, TEXTS["de"][i % 9 :] if i % 11 else None) for i in range(80)], "lang string, text string").coalesce(2)
+    want = {}
+    for r in docs.collect():
+        if r["lang"] and r["text"] is not None:
+            want.setdefault(r["lang"], []).append(r["text"])
+    for most in (1000, 1):
+        monkeypatch.setattr(L, "_LANGS", most)
+        trained = L.train_profiles(docs)
+        got = {r["lang"]: (r["n"], r["vector"]) for r in trained.collect()}
+        assert got == {k: (len(v), L.Profiles.train({k: v}).vecs[0].tolist()) for k, v in want.items()}
+    plan = trained._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_pages_are_read_once_for_their_language(spark):
+    from webloom.plans import catalogue
+
+    plan = catalogue.page_language_stats(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython", plan)) == 2 and len(re.findall(r"extracted\(", plan)) == 0

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SIZE = 256
 UNKNOWN = "unknown"
 _FNV_START, _FNV_PRIME = np.uint32(2166136261), np.uint32(16777619)
 _PART = 4_000_000
+_LANGS = 1000  # as many sums are held by a task at most
 
 
 @cache
@@ -65,17 +67,19 @@ def _fill(out: np.ndarray, texts: Sequence[str | None], size: int) -> None:
     keep = (kind == 1) | (space & ~after)
     cps, row = np.where(space, np.uint32(32), cps)[keep], row[keep]
     kept = np.bincount(row, minlength=len(texts))
-    place = np.arange(len(cps)) - np.repeat(np.cumsum(kept) - kept, kept)
-    base, counts = row * size, np.zeros(len(texts) * size, np.int64)
+    base, counts = row * size, np.zeros(len(texts) * size + 1, np.int64)
+    ends, h = np.cumsum(kept), np.full(len(cps), _FNV_START, np.uint32)
     for n in range(1, 6):
         if len(cps) < n:
             break
-        h = np.full(len(cps) - n + 1, _FNV_START, np.uint32)
-        for j in range(n):
-            h = (h ^ cps[j : len(cps) - n + 1 + j]) * _FNV_PRIME
-        bucket = _fold(h).astype(np.int64)
-        ok = place[n - 1 :] >= n - 1
-        counts += np.bincount(base[n - 1 :][ok] + (bucket[ok] if size > 255 else bucket[ok] % size), minlength=len(counts))
+        h = (h[: len(cps) - n + 1] ^ cps[n - 1 :]) * _FNV_PRIME  # the n-gram from the (n-1)-gram that begins there
+        bucket = _fold(h)
+        at = base[: len(h)] + (bucket if size > 255 else bucket % np.uint32(size))
+        for j in range(1, n):  # those that would reach into the next text count behind the others
+            over = ends - j
+            at[over[(over >= 0) & (over < len(at))]] = len(counts) - 1
+        counts += np.bincount(at, minlength=len(counts))
+    counts = counts[:-1]
     np.minimum(255, counts.reshape(out.shape) * 256 // np.maximum(kept, 1)[:, None], out=out)
 
 
@@ -102,9 +106,30 @@ def distance(a: str | Column, b: str | Column) -> Column:
 
 
 def train_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = SIZE) -> DataFrame:
-    """(lang, n, vector): the mean vector of each language's examples, rounded down, at most 255; partial sums, one shuffle of them."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.posexplode(language_vector(text, size)).alias("bucket", "v"))
-    sums = rows.groupBy("lang", "bucket").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    """(lang, n, vector): the mean vector of each language's examples, rounded down, at most 255; a sum for each task, one shuffle of them."""
+    kind = docs.select(F.col(lang)).schema[0].dataType
+
+    def add(parts):
+        sums: dict = {}
+        for b in parts:
+            langs = b.column("lang").to_pylist()
+            v = vectors(b.column("text").to_pylist(), size)
+            for x in set(langs):
+                own = [y == x for y in langs]
+                n, s = sums.get(x, (0, 0))
+                sums[x] = n + sum(own), s + v[own].sum(axis=0)
+            if len(sums) > _LANGS:
+                yield from out(sums)
+                sums = {}
+        yield from out(sums)
+
+    def out(sums):
+        if sums:
+            yield pa.RecordBatch.from_pydict({"lang": list(sums), "n": [n for n, _ in sums.values()], "v": [s.tolist() for _, s in sums.values()]}, pa.schema([("lang", to_arrow_type(kind)), ("n", pa.int64()), ("v", pa.list_(pa.int64()))]))
+
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    parts = rows.mapInArrow(add, T.StructType([T.StructField("lang", kind), T.StructField("n", T.LongType()), T.StructField("v", T.ArrayType(T.LongType()))]))
+    sums = parts.select("lang", "n", F.posexplode("v").alias("bucket", "v")).groupBy("lang", "bucket").agg(F.sum("v").alias("s"), F.sum("n").alias("n"))
     each = F.struct("bucket", F.least(F.floor(F.col("s") / F.col("n")), F.lit(255)).cast("int").alias("value"))
     return sums.groupBy("lang").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(each)).alias("pairs")).select("lang", "n", F.transform("pairs", lambda p: p["value"]).alias("vector"))
 

@@ -564,7 +564,8 @@ def html_inner_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by detected language of their main content."""
-    text = extract_plain_text("html", main_content=True, preserve_formatting=False)
+    # a field of a struct, as a function that is fed by another one directly is run with it again for each further use of the text
+    text = H.html_many("html", text=("text", {"main_content": True, "preserve_formatting": False}))["text"]
     found = _pages(spark, sf_dir).select(text.alias("text")).select(L.detect("text", profiles(spark, sf_dir))["lang"].alias("lang"), F.length("text").alias("n"))
     return found.groupBy("lang").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"))
 
