@@ -297,3 +297,11 @@ def test_command_lines(spark, tmp_path, capsysbinary):
     bad = A.dump([W.new_record("resource", b"x", [("WARC-Block-Digest", "sha1:AAAA")])])
     (tmp_path / "bad.warc").write_bytes(bad)
     assert main(["check", str(tmp_path / "bad.warc"), "--bad", str(tmp_path / "bad")], spark) == 1 and spark.read.json(str(tmp_path / "bad")).count() == 1
+
+
+def test_small_ranges_of_text_share_tasks(spark, tmp_path):
+    lines = [f"é{i}" * (i % 9) for i in range(3000)]
+    (tmp_path / "a.txt").write_bytes("\n".join(lines).encode("iso-8859-1"))
+    got = A.read_text(spark, str(tmp_path / "a.txt"), "iso-8859-1", split_bytes=50)
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r["value"] for r in got.collect()) == sorted(lines)

@@ -472,6 +472,8 @@ def send_bulk(actions: DataFrame, send, dry_run: bool = False, ignore_400: bool
     return actions.mapInArrow(run, "_id string")
 
 
+_TASK_BYTES = 64 << 20
+
 #: Encodings in which a line feed may be part of another character, or the state of a line depends on those before it.
 _WHOLE = re.compile(r"utf-?(16|32|7)|iso-?2022|hz", re.I)
 
@@ -490,8 +492,11 @@ def read_text(spark: SparkSession, pattern: str, encoding: str = "utf-8", split_
     if _WHOLE.search(encoding):
         return spark.read.format("binaryFile").load(pattern).select(F.explode(F.split(F.regexp_replace(decoded("content", encoding), r"\r?\n\z", ""), r"\r?\n")).alias("value"))
     name, packed = map_encoding(encoding), (".gz", ".bz2", ".zst", ".lz4")
-    ranges = [(p, a, min(a + split_bytes, n)) for p, n in list_files(pattern) for a in range(0, n, split_bytes if not p.endswith(packed) else max(n, 1))]
-    table = spark.createDataFrame(ranges, "path string, start long, end long").repartition(max(1, len(ranges)))
+    files = list_files(pattern)
+    ranges = [(p, a, min(a + split_bytes, n)) for p, n in files for a in range(0, n, split_bytes if not p.endswith(packed) else max(n, 1))]
+    # neighbours share a task where ranges are small, so that the tasks' number doesn't grow with that of ranges
+    tasks = min(len(ranges), max(4 * spark.sparkContext.defaultParallelism, sum(n for _, n in files) // _TASK_BYTES))
+    table = spark.createDataFrame(spark.sparkContext.parallelize(ranges, max(1, tasks)), "path string, start long, end long")
 
     def read(parts):
         for b in parts:
