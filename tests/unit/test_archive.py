@@ -305,3 +305,29 @@ def test_small_ranges_of_text_share_tasks(spark, tmp_path):
     got = A.read_text(spark, str(tmp_path / "a.txt"), "iso-8859-1", split_bytes=50)
     assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(r["value"] for r in got.collect()) == sorted(lines)
+
+
+@pytest.mark.parametrize("codec", [C.GZIP, C.LZ4, C.ZSTD])
+def test_one_record_takes_few_bytes(tmp_path, monkeypatch, codec):
+    """A look-up reads about its record, not a large piece of the file, and a file is opened once for all look-ups in it."""
+    bodies = [random.Random(i).randbytes(3000 if i != 70 else 3_000_000) for i in range(400)]
+    path = str(tmp_path / f"a.warc{C.SUFFIX[codec]}")
+    (tmp_path / f"a.warc{C.SUFFIX[codec]}").write_bytes(A.dump([W.new_record("resource", b) for b in bodies], codec))
+    offsets = [r.stream_pos for r in A.records(path)]
+    read, opened, real = [], [], A.open_file
+
+    class Counting(io.BytesIO):
+        def read(self, n=-1):
+            read.append(len(data := super().read(n)))
+            return data
+
+    def open_counting(p):
+        opened.append(p)
+        with real(p) as f:
+            return Counting(f.read())
+
+    monkeypatch.setattr(A, "open_file", open_counting)
+    order = [300, 5, 399, 70, 0]
+    assert [r.body for r in A.records_at((path, offsets[i]) for i in order)] == [bodies[i] for i in order] and len(opened) == 1
+    read.clear()
+    assert A.record_at(path, offsets[100]).body == bodies[100] and sum(read) < 100_000

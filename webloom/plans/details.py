@@ -79,7 +79,7 @@ def warc_record_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.arrow_udf("struct<page:string,kind:string,body:binary>")
     def at(names: pa.Array, offsets: pa.Array) -> pa.Array:
-        found = [A.record_at(f, p) for f, p in zip(names.to_pylist(), offsets.to_pylist(), strict=True)]
+        found = A.records_at(zip(names.to_pylist(), offsets.to_pylist(), strict=True))
         rows = [{"page": W.first_header(r.headers, "X-Page"), "kind": r.warc_type, "body": r.body} for r in found]
         return pa.array(rows, pa.struct([("page", pa.string()), ("kind", pa.string()), ("body", pa.binary())]))
 

@@ -27,7 +27,7 @@ import random
 import re
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -403,11 +403,19 @@ def write_index(records: DataFrame, path: str, sizes: DataFrame | None = None, f
     index(records, sizes, fields).sortWithinPartitions("filename", "stream_pos").select("json").write.text(path)
 
 
+def records_at(places: Iterable[tuple[str, int]], **options) -> Iterator[W.Record | None]:
+    """Records by (path, offset), in that order; a file stays open while the next record is in it too."""
+    for path, some in itertools.groupby(places, lambda x: x[0]):
+        with open_file(path) as f:
+            for _, offset in some:
+                yield next(W.read_records(f, C.codec_of_name(path), start=offset, **options), None)
+                f.seek(0)
+
+
 def record_at(path: str, offset: int, **options) -> W.Record | None:
     """One record by its offset."""
-    with open_file(path) as f:
-        codec = C.codec_of_name(path)
-        return next(W.read_records(f, codec, start=offset, **options), None)
+    (found,) = records_at([(path, offset)], **options)
+    return found
 
 
 def recompress(spark: SparkSession, source: str, target: str, compression: str = C.GZIP, **options) -> int:
