@@ -80,3 +80,15 @@ def test_guarded_column(spark):
 
     got = spark.createDataFrame([(0,), (1,), (2,)], "x int").coalesce(1).select(guarded(slow, "string", timeout=0.3)("x").alias("r")).collect()
     assert [(r.r.value, r.r.error) for r in got] == [("0", None), (None, "ValueError: one"), (None, "ExecutionTimeout")]
+
+
+def test_slow_rows_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from webloom.plans import details
+    from webloom.session import dealt
+
+    cores = spark.sparkContext.defaultParallelism
+    assert details.guard_limits(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8 * cores
+    slow = dealt(spark.range(0, 400_000, 1, 3), "id").where("id % 100 = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(slow) == 8 * cores and max(r["count"] for r in slow) < 1.5 * 4000 / len(slow)
