@@ -92,6 +92,22 @@ def test_long_texts_come_back_by_their_encoding(spark, tmp_path):
     assert [(r["utf8"], r["utf16"]) for r in details.detect_encoding_roundtrip(spark, str(tmp_path)).collect()] == [(True, True)] * 7
 
 
+def test_odd_texts_come_back_by_their_encoding(spark, tmp_path):
+    """Null, marks at the beginning, and zeros, at which UTF-16 looks like UTF-32 and UTF-8 like UTF-16."""
+    from webloom.plans import details
+
+    texts = [None, "", "\ufeff", "\ufeffäb", "\ufeff\ufeffx", "\ufeff" + "ä" * 140_000, "\0", "\0a", "\0abc", "\0\0\0", "\0\x10\0\x10", "\0ä", "\0äbc def", "ä\0\0\0\0", "äöü\0\0", "\0" * 5000 + "ä"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'de' lang").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: (r["utf8"], r["utf16"]) for r in details.detect_encoding_roundtrip(spark, str(tmp_path)).collect()} == dict.fromkeys(range(len(texts)), (True, True))
+
+
+def test_utf16_and_utf32_are_told_apart():
+    raw = lambda text, codec: E.detect_encoding(text.encode(codec), html5_compatible=False)
+    assert raw("\0abc", "utf-16") == "utf-16" and raw("abc", "utf-32") == raw("äb", "utf-32") == "utf-32"
+    assert E.detect_encoding("\0\0\0".encode("utf-16")) == "utf-16-le"
+    assert raw("Hi 这是", "utf-16-le") == raw("ab ä", "utf-16-le") == "utf-16-le" and raw("abä", "utf-16-be") == "utf-16-be"
+
+
 def test_meta_and_labels():
     page = '<!doctype html><!-- <meta charset="greek"> --><meta charset=latin1><p>äöü'.encode()
     assert E.detect_encoding(page) == "utf-8" and E.detect_encoding(page, from_html_meta=True) == "cp1252"
